@@ -32,8 +32,8 @@ def out(ranked, key="case_id"):
 
 
 @query("D1_bm25_index", q("items", f"""
-WITH d AS ({PARTS_DOCS} UNION ALL {DOCS.replace("cast(doc_id AS varchar)", "'d' || doc_id")}),
-w AS (SELECT item_id, len({words('text')}) AS dl, unnest({words('text')}) AS term FROM d)
+WITH d AS MATERIALIZED (SELECT item_id, {words('text')} AS ws FROM ({PARTS_DOCS} UNION ALL {DOCS.replace("cast(doc_id AS varchar)", "'d' || doc_id")}) x),
+w AS (SELECT item_id, len(ws) AS dl, unnest(ws) AS term FROM d)
 SELECT term, count(DISTINCT item_id) AS df, count(*) AS cf, cast(sum(dl) AS bigint) AS dl_sum FROM w GROUP BY 1"""))
 def d1(spark, sf):
     docs = documents(spark, sf).withColumn("item_id", F.concat(F.lit("d"), "item_id")).unionByName(serving.documents(T.items(spark, sf)))

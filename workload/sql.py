@@ -152,11 +152,11 @@ WHERE a.pos = a.pos_total AND v.item_id <> a.item_id""", k)
 def bm25(parts: str, docs: str, k: int) -> str:
     """``parts``: query_id, text, times. ``docs``: item_id, text."""
     return f"""
-WITH d AS ({docs}), dw AS (SELECT item_id, len({words('text')}) AS dl, unnest({words('text')}) AS term FROM d),
+WITH d AS MATERIALIZED (SELECT item_id, {words('text')} AS ws FROM ({docs}) x), dw AS (SELECT item_id, len(ws) AS dl, unnest(ws) AS term FROM d),
 post AS (SELECT item_id, dl, term, count(*) AS tf FROM dw GROUP BY ALL),
-st AS (SELECT count(*) AS n, sum(len({words('text')}))::double / count(*) AS avgdl FROM d),
+st AS (SELECT count(*) AS n, sum(len(ws))::double / count(*) AS avgdl FROM d),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
-qw AS (SELECT query_id, times, unnest({words('text')}) AS term FROM ({parts}) p),
+qd AS MATERIALIZED (SELECT query_id, times, {words('text')} AS ws FROM ({parts}) p), qw AS (SELECT query_id, times, unnest(ws) AS term FROM qd),
 qt AS (SELECT query_id, term, sum(times)::double AS qtf FROM qw GROUP BY ALL),
 sc AS (SELECT query_id, item_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score
   FROM qt JOIN dfs USING (term) JOIN post USING (term) CROSS JOIN st GROUP BY ALL)
