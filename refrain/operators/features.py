@@ -135,7 +135,7 @@ def context_features(pool: DataFrame, cases: DataFrame, plays: DataFrame, feats:
             .withColumn("query_title_tok_overlap", overlap(F.col("title_toks"), F.coalesce("_now", empty)))
             .withColumn("query_meta_tok_overlap", F.coalesce("_meta", zero))
             .withColumn("is_played", F.coalesce("_seen", zero))
-            .withColumn("recency_score", F.round(F.coalesce("artist_recency", zero) + F.coalesce("tag_recency", zero), 9))
+            .withColumn("recency_score", F.coalesce("artist_recency", zero) + F.coalesce("tag_recency", zero))
             .withColumn("n_history", F.coalesce("_n_history", zero))
             .drop("_now", "_last_artist", "_last_tags", "_seen", "_meta", "_n_history", "artist_recency", "tag_recency"))
 
@@ -159,7 +159,7 @@ def global_features(pool: DataFrame, session_vecs: DataFrame, factors: DataFrame
     in_head = (F.col("artist_key") != "") & (F.col("pool_pos") <= pool_k)
     out = (pool.join(session_vecs.select("case_id", F.col("vec").alias("_sv")), "case_id", "left")
            .join(factors.select("item_id", F.col("vec").alias("_f")), "item_id", "left")
-           .withColumn("als_dot", F.round(F.coalesce(dot(F.col("_sv"), F.col("_f")), F.lit(0.0)), 9)).drop("_sv", "_f")
+           .withColumn("als_dot", F.coalesce(dot(F.col("_sv"), F.col("_f")), F.lit(0.0))).drop("_sv", "_f")
            .join(popularity, "item_id", "left"))
     return (out
             .withColumn("popularity", F.coalesce("plays", F.lit(0)) / max_popularity(popularity))
