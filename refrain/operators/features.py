@@ -91,19 +91,31 @@ def recency_weights(plays: DataFrame) -> DataFrame:
     return plays.groupBy("case_id", "item_id").agg(F.sum(w).alias("w"))
 
 
+def tag_key():
+    """96 bits that stand for a tag set: fixed-width keys group far cheaper than arrays."""
+    return F.xxhash64("tags"), F.hash("tags")
+
+
+def with_tag_key(df: DataFrame, prefix: str) -> DataFrame:
+    a, b = tag_key()
+    return df.withColumn(f"{prefix}a", a).withColumn(f"{prefix}b", b)
+
+
 def recency_parts(pool: DataFrame, plays: DataFrame, feats: DataFrame):
     """Recency weight per (case, artist) and weighted tag Jaccard per (case, tag set)."""
     weighted = recency_weights(plays).join(feats.select("item_id", "artist_key", "tags"), "item_id")
     by_artist = (weighted.where("artist_key <> ''").groupBy("case_id", "artist_key")
                  .agg(F.sum("w").alias("artist_recency")))
-    played_sets = (weighted.where(F.size("tags") > 0).groupBy("case_id", F.col("tags").alias("p_tags"))
-                   .agg(F.sum("w").alias("w")).withColumn("tag", F.explode("p_tags")))
-    pool_sets = (pool.select("case_id", "tags").where(F.size("tags") > 0).distinct()
-                 .withColumn("tag", F.explode("tags")))
-    shared = (pool_sets.join(played_sets, ["case_id", "tag"])
-              .groupBy("case_id", "tags", "p_tags").agg(F.count("*").alias("c"), F.first("w").alias("w")))
-    j = F.col("c") / (F.size("tags") + F.size("p_tags") - F.col("c"))
-    by_tags = shared.groupBy("case_id", "tags").agg(F.sum(F.col("w") * j).alias("tag_recency"))
+    played_sets = (with_tag_key(weighted.where(F.size("tags") > 0), "_p").groupBy("case_id", "_pa", "_pb")
+                   .agg(F.sum("w").alias("w"), F.first("tags").alias("tags")))
+    played_tags = played_sets.select("case_id", "_pa", "_pb", "w", F.size("tags").alias("_pn"), F.explode("tags").alias("tag"))
+    pool_sets = pool.select("case_id", "tags").where(F.size("tags") > 0)
+    pool_sets = with_tag_key(pool_sets, "_t").dropDuplicates(["case_id", "_ta", "_tb"])
+    pool_tags = pool_sets.select("case_id", "_ta", "_tb", F.size("tags").alias("_tn"), F.explode("tags").alias("tag"))
+    shared = (pool_tags.join(played_tags, ["case_id", "tag"]).groupBy("case_id", "_ta", "_tb", "_pa", "_pb")
+              .agg(F.count("*").alias("c"), F.max("w").alias("w"), F.max("_tn").alias("_tn"), F.max("_pn").alias("_pn")))
+    j = F.col("c") / (F.col("_tn") + F.col("_pn") - F.col("c"))
+    by_tags = shared.groupBy("case_id", "_ta", "_tb").agg(F.sum(F.col("w") * j).alias("tag_recency"))
     return by_artist, by_tags
 
 
@@ -121,23 +133,35 @@ def context_features(pool: DataFrame, cases: DataFrame, plays: DataFrame, feats:
     meta = (pool.select("case_id", "item_id", F.explode("meta_toks").alias("token"))
             .join(said.select("case_id", "token").distinct(), ["case_id", "token"])
             .groupBy("case_id", "item_id").agg(F.count("*").cast("double").alias("_meta")))
-    out = (pool.join(now, "case_id", "left").join(last, "case_id", "left")
-           .join(seen, ["case_id", "item_id"], "left").join(meta, ["case_id", "item_id"], "left")
-           .join(by_artist, ["case_id", "artist_key"], "left").join(by_tags, ["case_id", "tags"], "left"))
     zero = F.lit(0.0)
     empty = F.array().cast("array<string>")
     known = F.col("artist_key") != ""
-    return (out
-            .withColumn("rrf_rank_inv", F.lit(1.0) / F.col("pool_pos"))
-            .withColumn("last_artist_match", F.when(known & (F.col("artist_key") == F.col("_last_artist")), 1.0).otherwise(0.0))
-            .withColumn("last_tag_jaccard", jaccard(F.col("tags"), F.coalesce("_last_tags", empty)))
-            .withColumn("query_artist_tok_overlap", overlap(F.col("artist_toks"), F.coalesce("_now", empty)))
-            .withColumn("query_title_tok_overlap", overlap(F.col("title_toks"), F.coalesce("_now", empty)))
+    # Everything that needs arrays comes first, so that they never travel through the later joins.
+    out = (pool.join(now, "case_id", "left").join(last, "case_id", "left")
+           .withColumn("rrf_rank_inv", F.lit(1.0) / F.col("pool_pos"))
+           .withColumn("last_artist_match", F.when(known & (F.col("artist_key") == F.col("_last_artist")), 1.0).otherwise(0.0))
+           .withColumn("last_tag_jaccard", jaccard(F.col("tags"), F.coalesce("_last_tags", empty)))
+           .withColumn("query_artist_tok_overlap", overlap(F.col("artist_toks"), F.coalesce("_now", empty)))
+           .withColumn("query_title_tok_overlap", overlap(F.col("title_toks"), F.coalesce("_now", empty)))
+           .withColumn("n_history", F.coalesce("_n_history", zero)))
+    out = with_tag_key(out, "_t").drop("_now", "_last_artist", "_last_tags", "_last_album", "_n_history",
+                                       "tags", "title_toks", "artist_toks", "meta_toks")
+    return (out.join(seen, ["case_id", "item_id"], "left").join(meta, ["case_id", "item_id"], "left")
+            .join(by_artist, ["case_id", "artist_key"], "left").join(by_tags, ["case_id", "_ta", "_tb"], "left")
             .withColumn("query_meta_tok_overlap", F.coalesce("_meta", zero))
             .withColumn("is_played", F.coalesce("_seen", zero))
             .withColumn("recency_score", F.coalesce("artist_recency", zero) + F.coalesce("tag_recency", zero))
-            .withColumn("n_history", F.coalesce("_n_history", zero))
-            .drop("_now", "_last_artist", "_last_tags", "_seen", "_meta", "_n_history", "artist_recency", "tag_recency"))
+            .drop("_ta", "_tb", "_seen", "_meta", "artist_recency", "tag_recency"))
+
+
+def pool_counts(pool: DataFrame, pool_k: int = DEFAULTS.pool_k) -> DataFrame:
+    """Pool size, artist count and album count: three windows that share one exchange by case."""
+    head = (F.col("artist_key") != "") & (F.col("pool_pos") <= pool_k)
+    artist, album = W.partitionBy("case_id", "artist_key"), W.partitionBy("case_id", "album_key")
+    return (pool.repartition("case_id")
+            .withColumn("_pool_n", F.count("*").over(W.partitionBy("case_id")))
+            .withColumn("_artist_n", F.when(F.col("artist_key") != "", F.count_if(head).over(artist)).otherwise(0))
+            .withColumn("_album_n", F.when(F.col("album_key") != "", F.count("*").over(album)).otherwise(0)))
 
 
 def source_features(pool: DataFrame) -> DataFrame:
@@ -152,38 +176,32 @@ def source_features(pool: DataFrame) -> DataFrame:
             .withColumn("r21_rank_inv", rank_inv(F.col("r_text"))).withColumn("r21_presence", presence(F.col("r_text"))))
 
 
-def global_features(pool: DataFrame, session_vecs: DataFrame, factors: DataFrame,
-                    popularity: DataFrame, pool_k: int = DEFAULTS.pool_k) -> DataFrame:
-    """Columns 21, 23-25: factor dot product, popularity, artist share of the pool."""
-    case = W.partitionBy("case_id")
-    in_head = (F.col("artist_key") != "") & (F.col("pool_pos") <= pool_k)
+def global_features(pool: DataFrame, session_vecs: DataFrame, factors: DataFrame, popularity: DataFrame) -> DataFrame:
+    """Columns 21, 23-25: factor dot product, popularity, artist share; needs ``pool_counts``."""
     out = (pool.join(session_vecs.select("case_id", F.col("vec").alias("_sv")), "case_id", "left")
            .join(factors.select("item_id", F.col("vec").alias("_f")), "item_id", "left")
            .withColumn("als_dot", F.coalesce(dot(F.col("_sv"), F.col("_f")), F.lit(0.0))).drop("_sv", "_f")
            .join(popularity, "item_id", "left"))
-    return (out
-            .withColumn("popularity", F.coalesce("plays", F.lit(0)) / max_popularity(popularity))
-            .withColumn("_pool_n", F.count("*").over(case))
-            .withColumn("pool_artist_count", F.when(F.col("artist_key") != "", F.count_if(in_head).over(
-                W.partitionBy("case_id", "artist_key"))).otherwise(0).cast("double"))
-            .withColumn("pool_artist_frac", F.col("pool_artist_count") / F.col("_pool_n")).drop("plays"))
+    return (out.withColumn("popularity", F.coalesce("plays", F.lit(0)) / max_popularity(popularity))
+            .withColumn("pool_artist_count", F.col("_artist_n").cast("double"))
+            .withColumn("pool_artist_frac", F.col("_artist_n") / F.col("_pool_n")).drop("plays"))
 
 
 def album_features(pool: DataFrame, plays: DataFrame, feats: DataFrame) -> DataFrame:
-    """Columns 29-33: album agreement with the history and inside the pool."""
+    """Columns 29-33: album agreement with the history and inside the pool; needs ``pool_counts``."""
     albums = plays.join(feats.select("item_id", "album_key"), "item_id").where("album_key <> ''")
     counts = albums.groupBy("case_id", "album_key").agg(
         F.count("*").alias("_hist"), F.max(F.col("pos") > F.col("pos_total") - 3).alias("_last3"),
         F.max(F.col("pos") == F.col("pos_total")).alias("_last1"), F.max("pos_total").alias("_n"))
-    flag = lambda c: F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
+
+    def flag(c):
+        return F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
     return (pool.join(counts, ["case_id", "album_key"], "left")
             .withColumn("same_album_last1", flag(F.col("_last1")))
             .withColumn("same_album_last3", flag(F.col("_last3")))
             .withColumn("same_album_any", flag(F.col("_hist") > 0))
             .withColumn("album_history_count", F.coalesce(F.col("_hist") / F.col("_n"), F.lit(0.0)))
-            .withColumn("pool_same_album_count", F.when(F.col("album_key") != "",
-                        F.count("*").over(W.partitionBy("case_id", "album_key"))).otherwise(0)
-                        / F.count("*").over(W.partitionBy("case_id")))
+            .withColumn("pool_same_album_count", F.col("_album_n") / F.col("_pool_n"))
             .drop("_hist", "_last3", "_last1", "_n"))
 
 
@@ -200,8 +218,9 @@ def triple_features(pool: DataFrame) -> DataFrame:
 def featurize(pool: DataFrame, cases: DataFrame, plays: DataFrame, feats: DataFrame, said: DataFrame,
               session_vecs: DataFrame, factors: DataFrame, popularity: DataFrame) -> DataFrame:
     """All 40 columns (34 shared and both triples) per pool row."""
-    out = context_features(with_attributes(pool, feats), cases, plays, feats, said)
-    out = source_features(out)
+    # Arrays are used up by the context step; the rest of the plan moves narrow rows.
+    out = pool_counts(with_attributes(pool, feats))
+    out = source_features(context_features(out, cases, plays, feats, said))
     out = global_features(out, session_vecs, factors, popularity)
     out = triple_features(album_features(out, plays, feats))
     return out.select("case_id", "item_id", "pool_pos", *FEATURES, *BASE_TRIPLE, *LARGE_TRIPLE)

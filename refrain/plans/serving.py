@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from refrain.config import DEFAULTS, Settings
+from refrain.lineage import materialize, scratch_path
 from refrain.operators import queries as Q, retrieval as R
 from refrain.operators.features import featurize, item_features, play_popularity
 from refrain.operators.fusion import fused_pool
@@ -94,6 +95,9 @@ def features(corpus: Corpus, candidates: DataFrame, settings: Settings = DEFAULT
              vectors: DataFrame | None = None, pool_sources: list[str] | None = None) -> DataFrame:
     """Fused pool with all feature columns."""
     pool = fused_pool(candidates, settings.weights, settings.pool_k, settings.rrf_k, pool_sources)
+    # The pool feeds three branches of the feature plan: fuse once, read it back as a narrow table.
+    spark = pool.sparkSession
+    pool = materialize(pool, scratch_path(spark, "pool"))
     vectors = session_vectors(corpus, settings) if vectors is None else vectors
     return featurize(pool, corpus.cases, corpus.plays, item_features(corpus.items), said_tokens(corpus),
                      vectors, corpus.factors, play_popularity(corpus.plays))

@@ -77,7 +77,7 @@ SELECT case_id, item_id, round(count(*) OVER (PARTITION BY case_id, album_key)::
 FROM scored JOIN feats USING (item_id)"""))
 def e7(spark, sf):
     feats = FE.item_features(T.items(spark, sf))
-    return FE.album_features(attributed(spark, sf), T.plays(spark, sf), feats).select(
+    return FE.album_features(FE.pool_counts(attributed(spark, sf)), T.plays(spark, sf), feats).select(
         "case_id", "item_id", F.round("pool_same_album_count", 9).alias("share"))
 
 

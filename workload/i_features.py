@@ -93,7 +93,7 @@ def pool_of(spark, sf):
 
 
 def attributed(spark, sf):
-    return FE.with_attributes(pool_of(spark, sf), FE.item_features(T.items(spark, sf)))
+    return FE.pool_counts(FE.with_attributes(pool_of(spark, sf), FE.item_features(T.items(spark, sf))))
 
 
 def context(spark, sf):
