@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,7 +61,7 @@ def materialize_folds(df: DataFrame, path: str, fold_col: str = "fold") -> DataF
     spark = df.sparkSession
     if _exists(spark, path):
         done = spark.read.parquet(path).select(fold_col).distinct()
-        df = df.join(F.broadcast(done.limit(1000)), fold_col, "left_anti")
+        df = df.join(done, fold_col, "left_anti")
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(fold_col).parquet(path))
     return spark.read.parquet(path)

@@ -70,7 +70,7 @@ def q(needs: str, body: str) -> str:
     if not done:
         return body
     body = body.strip()
-    head = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in done)
+    head = "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in done)
     return head + ",\n" + body[5:] if body.startswith("WITH ") else head + "\n" + body
 
 
