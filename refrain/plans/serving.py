@@ -31,8 +31,6 @@ class Corpus:
     cases: DataFrame
     plays: DataFrame
     said: DataFrame
-    play_order: list
-    play_chunk: object
 
 
 def recent(corpus: Corpus, k: int) -> DataFrame:

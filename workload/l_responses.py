@@ -40,10 +40,6 @@ def chats(spark, sf):
     return RS.transcripts(RS.transcript_rows(S.history(t, cases), cases, T.items(spark, sf)))
 
 
-def flat(messages):
-    return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m[1])), "\n")
-
-
 @query("L2_chat_history", q("turns last_req items", f"""
 SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY last, turn_number, pos) AS chat FROM ({TRANSCRIPT}) GROUP BY 1"""))
 def l2(spark, sf):

@@ -146,8 +146,7 @@ def last_vectors(spark, sf) -> DataFrame:
 def corpus(spark, sf) -> Corpus:
     c = cases(spark, sf)
     return Corpus(items=items(spark, sf), spaces={s: vectors(spark, sf, s) for s in SPACES}, factors=factors(spark, sf),
-                  cases=c, plays=plays(spark, sf), said=said(spark, sf).join(c.select("case_id"), "case_id", "left_semi"),
-                  play_order=["pos"], play_chunk=None)
+                  cases=c, plays=plays(spark, sf), said=said(spark, sf).join(c.select("case_id"), "case_id", "left_semi"))
 
 
 def stored_lists(spark, sf) -> dict[str, DataFrame]:
