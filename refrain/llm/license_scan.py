@@ -76,9 +76,10 @@ def votes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     One pass: a leading empty window stands for the text itself, so texts without any hit stay.
     """
     cut = docs.select("doc_id", F.xxhash64(whole_text(text)).alias("doc_key"), words(whole_text(text)).alias("ws"))
-    # The array of words ends here: exploding beside it would copy it into every row.
+    # The array of words ends here: exploding beside it would copy it into every row. No list is empty, and the outer form
+    # keeps the optimizer from testing that on the texts, where it would cut them into words again for every window.
     cut = cut.select("doc_id", "doc_key", F.size("ws").alias("n_words"), F.concat(F.array(F.lit("")), windows(F.col("ws"))).alias("grams"))
-    grams = cut.select("doc_id", "doc_key", "n_words", F.posexplode("grams").alias("at", "gram"))
+    grams = cut.select("doc_id", "doc_key", "n_words", F.posexplode_outer("grams").alias("at", "gram"))
     t = F.broadcast(template_windows(docs.sparkSession))
     g = grams.select("doc_id", "doc_key", "n_words", (F.col("at") - 1).alias("pos"), "gram", F.xxhash64("gram").alias("hash"))
     hits = g.join(t, (g["hash"] == t["hash"]) & (g["gram"] == t["gram"])).select(

@@ -40,44 +40,47 @@ RUN = 64
 SPAN = "array<struct<start:int,end:int,kind:string>>"
 
 
-def _places(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
-    """Spans of the leftmost, non-overlapping matches; short ones (by ``group``) go after matching, without a retry."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.arrays_zip(F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("gap"), found.alias("hit"))
+def _kinds() -> list[tuple[str, str, str, int]]:
+    """Kind, pattern, a cheaper hint that a text has a match, and the group whose length must reach the least.
 
-    def step(acc, x):
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.length(x["hit"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end")))).alias("out"))
-
-    # Growing an array copies it, so places are added up in runs of RUN matches, and the runs' own lengths before that.
-    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / RUN).cast("int")), lambda c: F.slice(steps, c * RUN + 1, RUN))
-    total = lambda run: F.aggregate(run, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["hit"]))
-    starts = F.aggregate(runs, F.array(F.lit(0)), lambda out, run: F.concat(out, F.array(F.element_at(out, -1) + total(run))))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    spans = F.flatten(F.zip_with(runs, F.slice(starts, 1, F.size(runs)), lambda run, at: F.aggregate(
-        run, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
-    if kind in LEAST:
-        sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda s: F.length(s))
-        spans = F.transform(F.filter(F.arrays_zip(spans.alias("s"), sizes.alias("n")), lambda x: x["n"] >= LEAST[kind]), lambda x: x["s"])
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-
-
-def _if(text: Column, hint: str, spans: Column) -> Column:
-    """Only texts that hold the hint are cut."""
-    return F.when(text.rlike(hint), spans).otherwise(F.array().cast(SPAN))
+    A run of hexadecimal digits is maximal on both sides, so asking for 24 at once finds the spans that the rule keeps.
+    """
+    return [("assign", ASSIGN, ASSIGN, 2), ("access", ACCESS, "AKIA", 0), ("hex", HEX.replace("+", "{%d,}" % LEAST["hex"]), "[0-9a-f]{24}", 0),
+            *[(k, p, p, 0) for k, (_, p) in WEAK.items()]]
 
 
 def parts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(doc_id, doc_key, strong, weak)``: spans of either sort in the whole text."""
+    t, longs = F.col("t"), "array<int>"
     one = docs.select("doc_id", whole_text(text).alias("t"))
-    t = F.col("t")
-    # Runs of hexadecimal digits are everywhere in prose; the short ones, which the rule drops, are never cut out:
-    # a run is maximal on both sides, so asking for 24 digits at once finds the same spans.
-    strong = F.concat(_if(t, ASSIGN, _places(t, ASSIGN, "assign", 2)), _if(t, "AKIA", _places(t, ACCESS, "access")),
-                      _if(t, r"[0-9a-f]{24}", _places(t, HEX.replace("+", "{24,}"), "hex")))
-    weak = F.concat(*[_if(t, p, _places(t, p, k)) for k, (_, p) in WEAK.items()])
-    return one.select("doc_id", F.xxhash64("t").alias("doc_key"), strong.alias("strong"), weak.alias("weak"))
+    lengths = lambda strings, hint: F.when(t.rlike(hint), F.transform(strings, lambda s: F.length(s))).otherwise(F.array().cast(longs))
+    # Each step is a projection of its own: inlined into a lambda, a step would be taken again for every match.
+    cut = one.select("doc_id", F.xxhash64("t").alias("doc_key"), *[c for k, p, hint, g in _kinds() for c in (
+        lengths(F.split(t, p, -1), hint).alias(f"gap_{k}"), lengths(F.regexp_extract_all(t, F.lit(p), F.lit(0)), hint).alias(f"hit_{k}"),
+        lengths(F.regexp_extract_all(t, F.lit(p), F.lit(g)), hint).alias(f"key_{k}"))])
+    names = [k for k, *_ in _kinds()]
+    steps = cut.select("doc_id", "doc_key", *[F.arrays_zip(
+        F.slice(f"gap_{k}", 1, F.size(f"hit_{k}")).alias("gap"), F.col(f"hit_{k}").alias("hit"), F.col(f"key_{k}").alias("key")).alias(k) for k in names])
+    # Growing an array copies it, so places are added up in runs of RUN matches, and before that the runs' own lengths.
+    in_runs = lambda a: F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / RUN).cast("int")), lambda c: F.slice(a, c * RUN + 1, RUN))
+    runs = steps.select("doc_id", "doc_key", *[in_runs(F.col(k)).alias(k) for k in names])
+    total = lambda run: F.aggregate(run, F.lit(0), lambda n, x: n + x["gap"] + x["hit"])
+    starts = runs.select("doc_id", "doc_key", *[c for k in names for c in (F.col(k), F.aggregate(
+        k, F.array(F.lit(0)), lambda out, run: F.concat(out, F.array(F.element_at(out, -1) + total(run)))).alias(f"at_{k}"))])
+    none = F.array().cast("array<struct<start:int,end:int,key:int>>")
+
+    def step(acc, x):
+        a = acc["at"] + x["gap"]
+        b = a + x["hit"]
+        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["key"].alias("key")))).alias("out"))
+
+    def spans(k):
+        placed = F.flatten(F.zip_with(F.col(k), F.slice(f"at_{k}", 1, F.size(k)), lambda run, at: F.aggregate(
+            run, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+        kept = F.filter(placed, lambda s: s["key"] >= LEAST.get(k, 0))
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind")))
+
+    return starts.select("doc_id", "doc_key", F.concat(*[spans(k) for k in STRONG]).alias("strong"), F.concat(*[spans(k) for k in WEAK]).alias("weak"))
 
 
 def _rows(found: DataFrame, col: str, *more) -> DataFrame:

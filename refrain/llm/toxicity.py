@@ -18,7 +18,7 @@ the output's name is replaced.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -267,12 +267,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, ma
 
 def score(docs: DataFrame, model, text: str = "text", out: str = "score") -> DataFrame:
     """Add ``out``: the probability that the whole text is toxic."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays and numbers: a worker unpickles a broadcast without this package.
+    kind, state = type(model), docs.sparkSession.sparkContext.broadcast(astuple(model))
 
     @F.arrow_udf("double")
     def scored(texts):
         import pyarrow as pa
-        m = sent.value
+        m = kind(*state.value)
         return pa.array([m.score(t.as_py()) for t in texts], pa.float64())
 
     return docs.withColumn(out, scored(whole_text(text)))
