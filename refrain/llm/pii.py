@@ -117,8 +117,12 @@ def account_after(text: str, cue: str, at: int) -> tuple[int, int] | None:
             return None
         start += 3 if text[start] not in " :=#.-" else 1
     end = start
-    while end < n and (text[end] in LETTERS_DIGITS or (text[end] in " -" and end + 1 < n and text[end + 1] in DIGITS)):
+    follows = LETTERS_DIGITS if cue == "iban" else DIGITS  # what may come after a space or hyphen inside the number
+    while end < n and (text[end] in LETTERS_DIGITS or (text[end] in " -" and end + 1 < n and text[end + 1] in follows)):
+        if cue == "iban" and text[end].islower():
+            break
         end += 1
+    end -= cue == "iban" and end > start and text[end - 1] in " -"
     value = "".join(c for c in text[start:end] if c in LETTERS_DIGITS)
     if cue == "iban":
         if not (15 <= len(value) <= 34 and value[:2].isalpha() and value[2:4].isdigit()):
