@@ -16,13 +16,14 @@ from __future__ import annotations
 import base64
 import hashlib
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from refrain.llm.common import ship, whole_text, worker_cache
 
 #: Remembered pieces (twice this many) and pairs per worker; a bound on memory, results do not depend on it.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 LONGEST_REMEMBERED = 64
+ROWS = 256
 
 
 class Vocabulary:
@@ -35,9 +36,9 @@ class Vocabulary:
         self.length = {i: len(b) for b, i in ranks.items()}
         self.parts = {i: None for i in self.token_bytes}
         self.merged: dict[tuple[int, int], int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         reachable = [i for i in sorted(self.token_bytes) if self._find_parts(i)]
-        self.fits.clear()
+        self.shorter = self._shorter({self.token_bytes[i]: i for i in reachable})
         self.automaton = ahocorasick.Automaton()
         for i in reachable:
             self.automaton.add_word(self.token_bytes[i].decode("latin-1"), i)
@@ -58,6 +59,13 @@ class Vocabulary:
                 return True
         return False
 
+    def _shorter(self, reachable: dict[bytes, int]) -> dict[int, int]:
+        """Each token's longest shorter token that begins it, -1 for single bytes."""
+        found = {}
+        for whole, token in reachable.items():
+            found[token] = next((reachable[whole[:n]] for n in range(len(whole) - 1, 0, -1) if whole[:n] in reachable), -1)
+        return found
+
     def _keeps_border(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves the border between two finished tokens.
 
@@ -84,41 +92,37 @@ class Vocabulary:
                 redone, right = right + 1, parts[0]
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.fits.get((left, right))
+        pair = left << 32 | right
+        known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) >= REMEMBERED * 4:
+            if len(self.fits) >= REMEMBERED:
                 self.fits.clear()
-            known = self.fits[left, right] = self._keeps_border(left, right)
+            known = self.fits[pair] = self._keeps_border(left, right)
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, length = len(piece), self.length
-        starts: list[list[int]] = [[] for _ in range(n)]
+        n, length, shorter, compatible = len(piece), self.length, self.shorter, self.compatible
+        longest = [-1] * (n + 1)
         for end, token in self.automaton.iter(piece.decode("latin-1")):
-            starts[end + 1 - length[token]].append(token)  # ascending length at each start
+            longest[end + 1 - length[token]] = token  # ends ascend, so the longest stays
         alive = bytearray(b"\x01") * (n + 1)
         tokens: list[int] = []
-        choices: list[int] = []
-        at, k = 0, len(starts[0]) - 1 if n else -1
+        at, token = 0, longest[0]
         while at < n:
-            here = starts[at]
-            while k >= 0:
-                token = here[k]
-                if alive[at + length[token]] and (not tokens or self.compatible(tokens[-1], token)):
-                    break
-                k -= 1
-            if k >= 0:
+            last = tokens[-1] if tokens else -1
+            while token >= 0 and not (alive[at + length[token]] and (last < 0 or compatible(last, token))):
+                token = shorter[token]
+            if token >= 0:
                 tokens.append(token)
-                choices.append(k)
                 at += length[token]
-                k = len(starts[at]) - 1 if at < n else -1
+                token = longest[at]
             else:
                 alive[at] = 0
-                at -= length[tokens.pop()]
-                k = choices.pop() - 1
+                token = tokens.pop()
+                at -= length[token]
         return tokens
 
     def decode(self, ids: bytes) -> bytes:
@@ -181,33 +185,45 @@ def spelled_out(pattern: str) -> str:
     return "".join(out)
 
 
+def _added(df: DataFrame, value: Column, out: str, maker) -> DataFrame:
+    """``df`` with a binary column that ``maker()`` makes from ``value`` in the workers.
+
+    Rows leave in small batches, so that neither side ever holds the results of many texts at once.
+    """
+    kept = df.drop(out)
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.BinaryType())])
+
+    def run(batches):
+        import pyarrow as pa
+        one = maker()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                made = pa.array([one(v.as_py()) for v in part.column(part.num_columns - 1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=schema.names)
+
+    return df.select(*[df[c] for c in kept.columns], value.alias("_value")).mapInArrow(run, schema)
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids``: the text's token ids as little-endian unsigned 32-bit integers, no special tokens."""
     ranks, key = _shared(df.sparkSession, ranks_path)
     split_by = spelled_out(pattern)
 
-    @F.arrow_udf("binary")
-    def encoded(texts):
-        import pyarrow as pa
+    def maker():
         import regex
         vocabulary = worker_cache(key, lambda: Vocabulary(read_ranks(ranks.value)))
         split, packed = regex.compile(split_by).findall, vocabulary.pieces.__getitem__
-        return pa.array((b"".join(map(packed, split(t.as_py()))) for t in texts), pa.binary())
+        return lambda t: b"".join(map(packed, split(t)))
 
-    return df.withColumn(ids, encoded(whole_text(text)))
+    return _added(df, whole_text(text), ids, maker)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``: the bytes that packed ids stand for."""
     ranks, key = _shared(df.sparkSession, ranks_path)
-
-    @F.arrow_udf("binary")
-    def decoded(packed):
-        import pyarrow as pa
-        vocabulary = worker_cache(key, lambda: Vocabulary(read_ranks(ranks.value)))
-        return pa.array((vocabulary.decode(b.as_py()) for b in packed), pa.binary())
-
-    return df.withColumn(out, decoded(F.coalesce(F.col(ids), F.lit(b""))))
+    return _added(df, F.coalesce(F.col(ids), F.lit(b"")), out,
+                  lambda: worker_cache(key, lambda: Vocabulary(read_ranks(ranks.value))).decode)
 
 
 ship(__name__)
