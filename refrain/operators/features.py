@@ -103,7 +103,9 @@ def with_tag_key(df: DataFrame, prefix: str) -> DataFrame:
 
 def recency_parts(pool: DataFrame, plays: DataFrame, feats: DataFrame):
     """Recency weight per (case, artist) and weighted tag Jaccard per (case, tag set)."""
-    weighted = recency_weights(plays).join(feats.select("item_id", "artist_key", "tags"), "item_id")
+    # Whole trillionths: sums of integers come out alike in any order.
+    age = F.col("pos_total") - F.col("pos") + 1
+    weighted = plays.groupBy("case_id", "item_id").agg(F.sum(F.round(F.lit(1e12) / age).cast("long")).alias("w")).join(feats.select("item_id", "artist_key", "tags"), "item_id")
     by_artist = (weighted.where("artist_key <> ''").groupBy("case_id", "artist_key")
                  .agg(F.sum("w").alias("artist_recency")))
     played_sets = (with_tag_key(weighted.where(F.size("tags") > 0), "_p").groupBy("case_id", "_pa", "_pb")
@@ -113,9 +115,8 @@ def recency_parts(pool: DataFrame, plays: DataFrame, feats: DataFrame):
     pool_sets = with_tag_key(pool_sets, "_t").dropDuplicates(["case_id", "_ta", "_tb"])
     pool_tags = pool_sets.select("case_id", "_ta", "_tb", F.size("tags").alias("_tn"), F.explode("tags").alias("tag"))
     shared = (pool_tags.join(played_tags, ["case_id", "tag"]).groupBy("case_id", "_ta", "_tb", "_pa", "_pb")
-              .agg(F.count("*").alias("c"), F.max("w").alias("w"), F.max("_tn").alias("_tn"), F.max("_pn").alias("_pn")))
-    j = F.col("c") / (F.col("_tn") + F.col("_pn") - F.col("c"))
-    by_tags = shared.groupBy("case_id", "_ta", "_tb").agg(F.sum(F.col("w") * j).alias("tag_recency"))
+              .agg(F.count("*").alias("c"), F.max("w").cast("double").alias("w"), F.max("_tn").alias("_tn"), F.max("_pn").alias("_pn")))
+    by_tags = shared.groupBy("case_id", "_ta", "_tb").agg(F.sum(F.round(F.col("w") * F.col("c") / (F.col("_tn") + F.col("_pn") - F.col("c"))).cast("long")).alias("tag_recency"))
     return by_artist, by_tags
 
 
@@ -150,7 +151,7 @@ def context_features(pool: DataFrame, cases: DataFrame, plays: DataFrame, feats:
             .join(by_artist, ["case_id", "artist_key"], "left").join(by_tags, ["case_id", "_ta", "_tb"], "left")
             .withColumn("query_meta_tok_overlap", F.coalesce("_meta", zero))
             .withColumn("is_played", F.coalesce("_seen", zero))
-            .withColumn("recency_score", F.coalesce("artist_recency", zero) + F.coalesce("tag_recency", zero))
+            .withColumn("recency_score", (F.coalesce("artist_recency", F.lit(0)) + F.coalesce("tag_recency", F.lit(0))).cast("double") / F.lit(1e12))
             .drop("_ta", "_tb", "_seen", "_meta", "artist_recency", "tag_recency"))
 
 

@@ -56,7 +56,7 @@ def mask_played(rows: DataFrame, played: DataFrame) -> DataFrame:
 
 
 def rank_full(scored: DataFrame, played: DataFrame, weight: float = DEFAULTS.blend_weight,
-              digits: int = 9) -> DataFrame:
+              digits: int = 12) -> DataFrame:
     """Whole ranking of each case without played items; equal scores keep pool order."""
     final = blended(with_route(scored), weight).withColumn("final", F.round("final", digits))
     left = mask_played(final, played)

@@ -104,8 +104,11 @@ def masked_topk(queries: DataFrame, vectors: DataFrame, k: int, played: DataFram
 def stack_folds(per_fold: DataFrame, key: str, n_folds: int, scale: float = 1.0) -> DataFrame:
     """Fold vectors side by side: one dot product then sums the fold cosines."""
     packed = per_fold.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("fold", "vec"))).alias("f")).where(F.size("f") == n_folds)
-    flat = F.flatten(F.transform("f", lambda s: s["vec"]))
+        F.array_sort(F.collect_list(F.struct("fold", "vec"))).alias("f"))
+    # A row that lacks a fold must not drop out of the lists in silence.
+    whole = F.when(F.size("f") == n_folds, F.col("f")).otherwise(F.raise_error(F.concat(
+        F.lit(f"{key} "), F.col(key).cast("string"), F.lit(f" has not all {n_folds} folds"))).cast("array<struct<fold:int,vec:array<double>>>"))
+    flat = F.flatten(F.transform(whole, lambda s: s["vec"]))
     return packed.select(key, F.transform(flat, lambda x: x * F.lit(scale)).alias("vec"))
 
 

@@ -26,7 +26,7 @@ def cell(v):
     if isinstance(v, bool) or v is None or isinstance(v, (str, int)):
         return v
     if isinstance(v, float):
-        return "NaN" if math.isnan(v) else round(v, 6) + 0.0
+        return "NaN" if math.isnan(v) else round(v, 9) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(cell(x) for x in v)
     return str(v)
@@ -51,11 +51,11 @@ def compare(df, con, sql: str) -> str:
         return f"columns {got_cols} vs {want_cols}"
     if len(want) != len(got):
         return f"rows {len(got)} vs {len(want)}; first {got[:1]} vs {want[:1]}"
+    if not got:
+        return "no rows on either side: nothing was compared"
     for g, w in zip(got, want):
         if g != w:
-            same = all(a == b or (isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 1.1e-6) for a, b in zip(g, w))
-            if not same:
-                return f"row {g} vs {w}"
+            return f"row {g} vs {w}"
         if [kind(a) for a in g if a is not None] != [kind(b) for b in w if b is not None] and None not in g:
             return f"types {[kind(a) for a in g]} vs {[kind(b) for b in w]}"
     return ""

@@ -174,15 +174,11 @@ def d19(spark, sf):
     return out(R.fold_ensemble(T.fold_queries(spark, sf), T.fold_vectors(spark, sf), 5, 300))
 
 
-@query("D20_nested_record", q("plays vmeta vaudio", f"""
+@query("D20_nested_record", q("cands", """
 SELECT case_id, string_agg(source || '=' || ids, ';' ORDER BY source) AS lists FROM (
-  SELECT case_id, source, string_agg(item_id, ',' ORDER BY rank) AS ids FROM (
-    SELECT case_id, item_id, rank, 'qwen_recent' AS source FROM ({max_recent('vmeta', 3, 100)})
-    UNION ALL SELECT case_id, item_id, rank, 'clap_recent' FROM ({max_recent('vaudio', 3, 100)})) GROUP BY 1, 2) GROUP BY 1"""))
+  SELECT case_id, source, string_agg(item_id, ',' ORDER BY rank) AS ids FROM cands GROUP BY 1, 2) GROUP BY 1"""))
 def d20(spark, sf):
-    c = T.corpus(spark, sf)
-    lists = R.union_sources({"qwen_recent": R.max_recent(serving.recent(c, 3), c.spaces["metadata"], 3, 100),
-                             "clap_recent": R.max_recent(serving.recent(c, 3), c.spaces["audio"], 3, 100)})
+    lists = candidates(spark, sf)
     entry = F.transform(F.array_sort(F.map_entries("lists")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ",")))
     return nested(lists).select("case_id", F.array_join(entry, ";").alias("lists"))
 

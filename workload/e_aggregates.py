@@ -85,7 +85,7 @@ def e7(spark, sf):
 SELECT case_id, album_key, count(*) AS n FROM plays JOIN feats USING (item_id) WHERE album_key <> '' GROUP BY 1, 2"""))
 def e8(spark, sf):
     f = FE.item_features(T.items(spark, sf)).select("item_id", "album_key")
-    return T.purchases(spark, sf).join(f, "item_id").where("album_key <> ''").groupBy("case_id", "album_key").agg(F.count("*").alias("n"))
+    return T.plays(spark, sf).join(f, "item_id").where("album_key <> ''").groupBy("case_id", "album_key").agg(F.count("*").alias("n"))
 
 
 LIVE = "('qwen_recent', 'bm25_lastmusic', 'bm25_convo', 'qwen_neighbors', 'cfbpr_recent', 'als_session')"
@@ -98,37 +98,39 @@ def e9(spark, sf):
     return FE.source_features(fused_pool(candidates(spark, sf))).select("case_id", "item_id", "n_sources")
 
 
-@query("E10_pool_recall", q("scored plays", """
+def pool_of(spark, sf):
+    return fused_pool(candidates(spark, sf))
+
+
+@query("E10_pool_recall", q("pool gold", """
 SELECT round(avg(CASE WHEN s.item_id IS NULL THEN 0.0 ELSE 1.0 END), 9) AS recall, count(*) AS n_cases
-FROM plays p LEFT JOIN scored s ON s.case_id = p.case_id AND s.item_id = p.item_id AND s.s_large > 5 WHERE p.pos = p.pos_total"""))
+FROM gold p LEFT JOIN pool s ON s.case_id = p.case_id AND s.item_id = p.item_id"""))
 def e10(spark, sf):
-    gold = T.last_plays(spark, sf).withColumnRenamed("item_id", "gt")
-    pos = FE.case_gold_positions(T.scored(spark, sf).where("s_large > 5"), gold)
+    pos = FE.case_gold_positions(pool_of(spark, sf), T.gold(spark, sf))
     return EV.pool_recall(pos).select(F.round("recall", 9).alias("recall"), "n_cases")
 
 
 def gold_cases(spark, sf):
-    """Each customer's last purchase is the gold item; folds by customer."""
-    gold = T.last_plays(spark, sf).select("case_id", F.col("case_id").alias("session_id"), F.col("item_id").alias("gt"))
-    return with_folds(gold)
+    """Each customer's last purchase is the gold item, which the history lacks; folds by customer."""
+    return with_folds(T.gold(spark, sf).select("case_id", F.col("case_id").alias("session_id"), "gt"))
 
 
-@query("E11_hit_at_k", q("plays scored", """
-WITH g AS (SELECT case_id, item_id AS gt FROM plays WHERE pos = pos_total),
+@query("E11_hit_at_k", q("gold pool", """
+WITH g AS (SELECT case_id, item_id AS gt FROM gold),
 f AS (SELECT case_id, cast((row_number() OVER (ORDER BY md5('0:' || case_id)) - 1) % 5 AS int) AS fold FROM g),
 h AS (SELECT g.case_id, fold, CASE WHEN s.item_id IS NULL THEN 0.0 ELSE 1.0 END AS hit FROM g JOIN f USING (case_id)
-  LEFT JOIN scored s ON s.case_id = g.case_id AND s.item_id = g.gt AND s.pool_pos <= 10)
+  LEFT JOIN pool s ON s.case_id = g.case_id AND s.item_id = g.gt AND s.pool_pos <= 200)
 SELECT fold, round(avg(hit), 9) AS hit, count(*) AS n_cases FROM h GROUP BY ROLLUP (fold)"""))
 def e11(spark, sf):
-    lists = T.scored(spark, sf).select("case_id", "item_id", F.col("pool_pos").alias("rank"))
-    return EV.hit_rate(gold_cases(spark, sf), lists, 10).select("fold", F.round("hit", 9).alias("hit"), "n_cases")
+    lists = pool_of(spark, sf).select("case_id", "item_id", F.col("pool_pos").alias("rank"))
+    return EV.hit_rate(gold_cases(spark, sf), lists, 200).select("fold", F.round("hit", 9).alias("hit"), "n_cases")
 
 
-@query("E12_ndcg", q("plays scored", """
+@query("E12_ndcg", q("gold pool", """
 SELECT round(avg(coalesce(1.0 / log2(s.pool_pos + 1), 0.0)), 9) AS ndcg, count(*) AS n_cases
-FROM plays p LEFT JOIN scored s ON s.case_id = p.case_id AND s.item_id = p.item_id AND s.pool_pos <= 20 WHERE p.pos = p.pos_total"""))
+FROM gold p LEFT JOIN pool s ON s.case_id = p.case_id AND s.item_id = p.item_id AND s.pool_pos <= 20"""))
 def e12(spark, sf):
-    lists = T.scored(spark, sf).select("case_id", "item_id", F.col("pool_pos").alias("rank"))
+    lists = pool_of(spark, sf).select("case_id", "item_id", F.col("pool_pos").alias("rank"))
     return EV.ndcg(gold_cases(spark, sf), lists).select(F.round("ndcg", 9).alias("ndcg"), "n_cases")
 
 

@@ -36,9 +36,9 @@ def h3(spark, sf):
 
 
 @query("H4_l2_normalise", f"""
-SELECT vec_id, round(list_sum({unit('cast(embedding AS double[])[1:16]')}), 6) AS total FROM embeddings""")
+SELECT vec_id, round(list_sum({unit('cast(embedding AS double[])')}), 6) AS total FROM embeddings""")
 def h4(spark, sf):
-    v = l2_normalise(F.slice(F.col("embedding").cast("array<double>"), 1, 16))
+    v = l2_normalise(F.col("embedding").cast("array<double>"))
     return T.table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 

@@ -9,7 +9,7 @@ from refrain.operators import boosting as B, features as FE
 from refrain.plans import serving
 from workload import tables as T
 from workload.d_retrieval import candidates
-from workload.e_aggregates import IN8, IN9, gold_cases, shifted
+from workload.e_aggregates import IN8, IN9, gold_cases, pool_of
 from workload.registry import query
 from workload.sql import cte, dot, inter, jaccard, q, rrf, tokens
 
@@ -19,15 +19,20 @@ cte("pf", f"""SELECT pool.case_id, pool.item_id, pool_pos, {EMPTY}, coalesce(tit
   coalesce(meta_toks, []) AS meta_toks FROM pool LEFT JOIN feats USING (item_id)""", "pool feats")
 cte("hist", f"SELECT p.case_id, p.item_id, pos, pos_total, {EMPTY} FROM plays p LEFT JOIN feats USING (item_id)", "plays feats")
 cte("tagj", """
-SELECT a.item_id AS ia, b.item_id AS ib, count(*)::double / (any_value(a.n) + any_value(b.n) - count(*)) AS j
+SELECT a.item_id AS ia, b.item_id AS ib, count(*) AS c, any_value(a.n) + any_value(b.n) AS n
 FROM (SELECT item_id, len(tags) AS n, unnest(tags) AS tag FROM feats) a JOIN (SELECT item_id, len(tags) AS n, unnest(tags) AS tag FROM feats) b USING (tag) GROUP BY 1, 2""", "feats")
 cte("said_toks", f"""
 SELECT DISTINCT case_id, unnest({tokens('content')}) AS token FROM (
   SELECT case_id, content FROM said UNION ALL SELECT case_id, user_query FROM cases)""", "said cases")
 cte("f_ctx", f"""
 WITH lp AS (SELECT * FROM hist WHERE pos = pos_total), nowt AS (SELECT case_id, {tokens('user_query')} AS toks FROM cases),
-rec AS (SELECT f.case_id, f.item_id, sum(1.0 / (pos_total - pos + 1) * (CASE WHEN f.artist_key <> '' AND f.artist_key = h.artist_key THEN 1.0 ELSE 0.0 END + coalesce(j, 0.0))) AS r
-  FROM pf f JOIN hist h USING (case_id) LEFT JOIN tagj ON ia = f.item_id AND ib = h.item_id GROUP BY 1, 2),
+hw AS (SELECT *, cast(round(1e12 / (pos_total - pos + 1)) AS bigint) AS w FROM hist),
+ra AS (SELECT case_id, artist_key, sum(w) AS w FROM hw WHERE artist_key <> '' GROUP BY 1, 2),
+rs AS (SELECT case_id, any_value(item_id) AS item_id, sum(w)::double AS w FROM hw WHERE len(tags) > 0 GROUP BY case_id, tags),
+rt AS (SELECT f.case_id, f.item_id, sum(cast(round(h.w * c / (tagj.n - c)) AS bigint)) AS r
+  FROM pf f JOIN rs h USING (case_id) JOIN tagj ON ia = f.item_id AND ib = h.item_id GROUP BY 1, 2),
+rec AS (SELECT f.case_id, f.item_id, (coalesce(ra.w, 0) + coalesce(rt.r, 0))::double / 1e12 AS r FROM pf f
+  LEFT JOIN ra ON ra.case_id = f.case_id AND ra.artist_key = f.artist_key LEFT JOIN rt ON rt.case_id = f.case_id AND rt.item_id = f.item_id),
 mt AS (SELECT f.case_id, f.item_id, count(*)::double AS n FROM (SELECT case_id, item_id, unnest(meta_toks) AS token FROM pf) f JOIN said_toks USING (case_id, token) GROUP BY 1, 2),
 pl AS (SELECT DISTINCT case_id, item_id FROM plays)
 SELECT f.case_id, f.item_id, f.pool_pos, round(1.0 / f.pool_pos, 9) AS rrf_rank_inv,
@@ -35,7 +40,7 @@ SELECT f.case_id, f.item_id, f.pool_pos, round(1.0 / f.pool_pos, 9) AS rrf_rank_
   round({jaccard('f.tags', "coalesce(lp.tags, [])")}, 9) AS last_tag_jaccard,
   {inter('f.artist_toks', 'nowt.toks')}::double AS query_artist_tok_overlap, {inter('f.title_toks', 'nowt.toks')}::double AS query_title_tok_overlap,
   coalesce(mt.n, 0.0) AS query_meta_tok_overlap, CASE WHEN pl.item_id IS NULL THEN 0.0::double ELSE 1.0::double END AS is_played,
-  round(coalesce(rec.r, 0.0), 6) AS recency_score, coalesce(lp.pos_total, 0)::double AS n_history
+  coalesce(rec.r, 0.0) AS recency_score, coalesce(lp.pos_total, 0)::double AS n_history
 FROM pf f LEFT JOIN lp ON lp.case_id = f.case_id LEFT JOIN nowt ON nowt.case_id = f.case_id LEFT JOIN rec ON rec.case_id = f.case_id AND rec.item_id = f.item_id
 LEFT JOIN mt ON mt.case_id = f.case_id AND mt.item_id = f.item_id LEFT JOIN pl ON pl.case_id = f.case_id AND pl.item_id = f.item_id""",
     "pf hist tagj said_toks cases plays")
@@ -69,7 +74,7 @@ CTX = ["rrf_rank_inv", "last_artist_match", "last_tag_jaccard", "query_artist_to
 SRC = [f"src_{c}_{x}" for c in _LIVE for x in ("rank_inv", "pres")] + ["n_sources", "source_count_v2", "r21_rank_inv", "r21_presence"]
 GLOB = ["als_dot", "popularity", "pool_artist_count", "pool_artist_frac"]
 ALB = FE.FEATURES[-5:]
-SIX = {"recency_score", "als_dot", "r54_cosine", "r84_cosine"}
+SIX = {"als_dot", "r54_cosine", "r84_cosine"}
 
 
 @T.staged("features")
@@ -79,7 +84,8 @@ def features(spark, sf):
 
 
 def rounded(df, cols):
-    return df.select("case_id", "item_id", *[F.round(c, 6 if c in SIX else 9).alias(c) for c in cols])
+    # recency_score is a whole number of trillionths, alike on both sides; rounding would only make ties.
+    return df.select("case_id", "item_id", *[c if c == "recency_score" else F.round(c, 6 if c in SIX else 9).alias(c) for c in cols])
 
 
 def block(df_fn, cols, name):
@@ -87,11 +93,6 @@ def block(df_fn, cols, name):
     return sql, (lambda spark, sf: rounded(df_fn(spark, sf), cols))
 
 
-def pool_of(spark, sf):
-    from refrain.operators.fusion import fused_pool
-    return fused_pool(candidates(spark, sf))
-
-
 def attributed(spark, sf):
     return FE.pool_counts(FE.with_attributes(pool_of(spark, sf), FE.item_features(T.items(spark, sf))))
 
@@ -160,9 +161,9 @@ def case_table(spark, sf, sources):
     return FE.label_pool(rows, gold_cases(spark, sf))
 
 
-@query("I5_case_features", q("cands plays", " UNION ALL ".join(f"""
+@query("I5_case_features", q("cands gold", " UNION ALL ".join(f"""
 SELECT {n} AS n, p.case_id, any_value(p.n_pool) AS n_pool, coalesce(max(CASE WHEN p.item_id = g.item_id THEN p.pool_pos END), -1) AS gt_pos, round(sum(1.0 / p.pool_pos), 6) AS inv
-FROM (SELECT *, count(*) OVER (PARTITION BY case_id) AS n_pool FROM ({rrf('cands', extra=w)})) p JOIN plays g ON g.case_id = p.case_id AND g.pos = g.pos_total GROUP BY 2"""
+FROM (SELECT *, count(*) OVER (PARTITION BY case_id) AS n_pool FROM ({rrf('cands', extra=w)})) p JOIN gold g ON g.case_id = p.case_id GROUP BY 2"""
     for n, w in ((8, IN8), (9, IN9)))))
 def i5(spark, sf):
     out = None
@@ -180,10 +181,10 @@ def customer_weights(spark, sf):
     return mean_one(c, "p", "w", 0.25)
 
 
-@query("I6_ranking_dataset", q("pool plays", """
+@query("I6_ranking_dataset", q("pool gold", """
 WITH w AS (SELECT cast(c_custkey AS varchar) AS case_id, pow(abs(c_acctbal) / 10000 + 0.01, 0.25) AS x FROM customer)
 SELECT p.case_id, p.item_id, CASE WHEN g.item_id IS NULL THEN 0.0::double ELSE 1.0::double END AS label, round(x / (SELECT avg(x) FROM w), 6) AS weight
-FROM pool p JOIN w USING (case_id) LEFT JOIN plays g ON g.case_id = p.case_id AND g.item_id = p.item_id AND g.pos = g.pos_total"""))
+FROM pool p JOIN w USING (case_id) LEFT JOIN gold g ON g.case_id = p.case_id AND g.item_id = p.item_id"""))
 def i6(spark, sf):
     rows = B.ranking_rows(FE.label_pool(features(spark, sf), gold_cases(spark, sf)), FE.variant(None, "large"), customer_weights(spark, sf))
     return rows.select("case_id", "item_id", "label", F.round("weight", 6).alias("weight"))

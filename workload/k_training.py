@@ -36,10 +36,10 @@ def k2(spark, sf):
 
 
 @query("K3_train_pairs", q("turns items", f"""
-WITH tc AS ({TRAIN_CASES}), ex AS (SELECT DISTINCT cast(user_id AS varchar) AS s FROM events WHERE event_type = 'error' AND value > 50)
+WITH tc AS ({TRAIN_CASES}), ex AS (SELECT DISTINCT cast(user_id AS varchar) AS s FROM events WHERE event_type = 'error' AND value > 150)
 SELECT case_id, query, item_text FROM ({TRAIN}) WHERE session_id NOT IN (SELECT s FROM ex)"""))
 def k3(spark, sf):
-    excluded = T.table(spark, sf, "events").where("event_type = 'error' and value > 50").select(T.text_id("user_id").alias("session_id"))
+    excluded = T.table(spark, sf, "events").where("event_type = 'error' and value > 150").select(T.text_id("user_id").alias("session_id"))
     return P.train_pairs(T.turns(spark, sf), T.items(spark, sf), excluded).select("case_id", "query", "item_text")
 
 

@@ -82,11 +82,13 @@ SELECT cast(p_partkey AS varchar) AS item_id, [p_name] AS track_name, [p_brand]
   cast(floor(p_retailprice * 200) AS bigint) AS duration,
   round(p_retailprice - 100 * floor(p_retailprice / 100), 2) AS popularity
 FROM part""")
-cte("plays", """
+cte("all_plays", """
 SELECT cast(o_custkey AS varchar) AS case_id, cast(l_partkey AS varchar) AS item_id,
   row_number() OVER w AS pos, count(*) OVER (PARTITION BY o_custkey) AS pos_total
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)""")
+cte("plays", "SELECT case_id, item_id, pos, pos_total - 1 AS pos_total FROM all_plays WHERE pos < pos_total", "all_plays")
+cte("gold", "SELECT case_id, item_id FROM all_plays WHERE pos = pos_total", "all_plays")
 cte("cases", """
 SELECT cast(c_custkey AS varchar) AS case_id,
   coalesce('please give me ' || p_name || ' for ' || c_mktsegment, c_mktsegment) AS user_query
@@ -125,7 +127,7 @@ for space, sl in {"vmeta": "[1:64]", "vcollab": "[1:32]", "vaudio": "[33:64]"}.i
     cte(space, f"SELECT cast(vec_id AS varchar) AS item_id, {unit(v)} AS vec FROM embeddings WHERE len(embedding) = 64")
 cte("factors", "SELECT cast(vec_id AS varchar) AS item_id, cast(embedding AS double[]) AS vec FROM embeddings WHERE len(embedding) = 64")
 cte("vfold", "SELECT cast(vec_id AS varchar) AS item_id, f AS fold, "
-    + unit("cast(embedding AS double[])[1 + 12 * f : 12 + 12 * f]") + " AS vec FROM embeddings, range(5) r(f) WHERE len(embedding) = 64")
+    + unit("cast(embedding AS double[])[1 + 12 * f : 16 + 12 * f]") + " AS vec FROM embeddings, range(5) r(f) WHERE len(embedding) = 64")
 
 
 def ranked(src: str, k: int, key: str = "case_id") -> str:

@@ -61,13 +61,23 @@ def purchases(spark, sf, *extra: str) -> DataFrame:
             .withColumn("case_id", text_id("o_custkey")).withColumn("item_id", text_id("l_partkey")))
 
 
-@staged("plays")
-def plays(spark, sf) -> DataFrame:
+@staged("all_plays")
+def all_plays(spark, sf) -> DataFrame:
     order = ["o_orderdate", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     p = positions(purchases(spark, sf), ["case_id"], order, F.unix_date(F.to_date("o_orderdate")), "pos", totals=True)
     return p.select("case_id", "item_id", "pos", "pos_total")
 
 
+def plays(spark, sf) -> DataFrame:
+    """The history: what was played strictly before the gold play."""
+    return all_plays(spark, sf).where("pos < pos_total").withColumn("pos_total", F.col("pos_total") - 1)
+
+
+def gold(spark, sf) -> DataFrame:
+    """The last play of each customer, which no history holds at its place."""
+    return all_plays(spark, sf).where("pos = pos_total").select("case_id", F.col("item_id").alias("gt"))
+
+
 def cases(spark, sf) -> DataFrame:
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     p = table(spark, sf, "part").select("p_partkey", "p_name")
@@ -127,8 +137,9 @@ def factors(spark, sf) -> DataFrame:
 
 
 def fold_vectors(spark, sf) -> DataFrame:
+    # Five models of 16 dimensions each, 12 apart, read all 64.
     e = raw_vectors(spark, sf).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    return e.withColumn("vec", l2_normalise(F.slice("vec", F.col("fold") * 12 + 1, F.lit(12))))
+    return e.withColumn("vec", l2_normalise(F.slice("vec", F.col("fold") * 12 + 1, F.lit(16))))
 
 
 def last_plays(spark, sf) -> DataFrame:
