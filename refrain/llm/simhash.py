@@ -29,8 +29,9 @@ BLOCK = 1024
 PART = 1 << 16
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """64-bit SimHash, signed, over XXH64 (seed 42) of the text's shingles; bytes split at ASCII white space."""
+def fingerprint(text: str, words: int = WORDS, distinct: bool = False) -> int:
+    """64-bit SimHash, signed, over XXH64 (seed 42) of the text's shingles, or of the distinct ones; bytes split at
+    ASCII white space."""
     import numpy as np
     from xxhash import xxh64_intdigest
     tokens = text.encode().lower().split()
@@ -41,20 +42,24 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.append(0, ends[:-1] + 1)
     last = ends[words - 1:] if len(tokens) >= words else ends[-1:]
+    spans = zip(starts.tolist(), last.tolist())
+    if distinct:
+        hashes = np.fromiter({xxh64_intdigest(line[a:b], SEED) for a, b in spans}, dtype="<u8")
+        n = len(hashes)
+    else:
+        hashes = np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in spans), dtype="<u8", count=n)
     set_bits = np.zeros(64, dtype=np.int64)
     for at in range(0, n, PART):
-        hashes = np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[at:at + PART].tolist(), last[at:at + PART].tolist())],
-                          dtype="<u8")
-        set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        set_bits += np.unpackbits(hashes[at:at + PART].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * set_bits > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, text: str = "text", out: str = "fp") -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = WORDS, text: str = "text", out: str = "fp", distinct: bool = False) -> DataFrame:
     """Add ``out``: the whole text's fingerprint as a long."""
     @F.arrow_udf("long")
     def prints(texts):
         import pyarrow as pa
-        return pa.array([fingerprint(t.as_py(), words) for t in texts], pa.int64())
+        return pa.array([fingerprint(t.as_py(), words, distinct) for t in texts], pa.int64())
 
     return docs.withColumn(out, prints(whole_text(text)))
 
@@ -103,22 +108,23 @@ def _forests(radius: int):
 
 def linked(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """``(u, v)``: edges that connect the distinct fingerprints ``fps(fp)`` as their links do; u > v."""
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks(radius))])
-    keyed = fps.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
+    # One number stands for a table's bucket; should two buckets share it, their fingerprints are compared all the same.
+    tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks(radius))])
+    keyed = fps.select("fp", F.explode(tables).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
     sizes = stage(sizes, "simhash-buckets")
     # Two fingerprints of a bucket are its least and its greatest; only larger buckets need their members.
     pairs = sizes.where("n = 2").select(F.col("high").alias("u"), F.col("low").alias("v")).where(
         F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
-    large = sizes.where("n > 2").select("t", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    packs = (keyed.join(large, ["t", "key"])
-             .groupBy("t", "key", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("part"))
+    large = sizes.where("n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    packs = (keyed.join(large, "key")
+             .groupBy("key", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("part"))
              .agg(F.collect_list("fp").alias("fps")))
     alone = packs.where("blocks = 1").select(F.col("fps").alias("a"), F.lit(None).cast("array<long>").alias("b"))
     several = packs.where("blocks > 1")
-    first = several.select("t", "key", "part", F.col("fps").alias("a"))
-    second = several.select("t", "key", F.col("part").alias("part_b"), F.col("fps").alias("b"))
-    crossed = first.join(second, ["t", "key"]).where("part <= part_b").select("a", F.when(F.col("part") < F.col("part_b"), F.col("b")).alias("b"))
+    first = several.select("key", "part", F.col("fps").alias("a"))
+    second = several.select("key", F.col("part").alias("part_b"), F.col("fps").alias("b"))
+    crossed = first.join(second, "key").where("part <= part_b").select("a", F.when(F.col("part") < F.col("part_b"), F.col("b")).alias("b"))
     forests = alone.unionByName(crossed).mapInArrow(_forests(radius), "u long, v long")
     up = forests.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     return pairs.unionByName(up).distinct()
@@ -146,9 +152,10 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, text: str = "text", block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, text: str = "text", block: int = BLOCK,
+                    distinct: bool = False) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, fp, component_id)``: the least doc_id each row is connected with."""
-    known = stage(fingerprints(docs.select("doc_id", F.col(text).alias("text")), words).select("doc_id", "fp"), "simhash-prints")
+    known = stage(fingerprints(docs.select("doc_id", F.col(text).alias("text")), words, distinct=distinct).select("doc_id", "fp"), "simhash-prints")
     least = stage(known.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(linked(least.select("fp"), radius, block))
     placed = least.join(roots, least.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

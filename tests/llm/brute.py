@@ -76,10 +76,11 @@ def license_base(t):
     return len(words), sorted(places)
 
 
-def fingerprint(t):
+def fingerprint(t, k=4, distinct=False):
     import xxhash
     w = SPACE.findall((t or "").translate(LOW))
-    sh = [" ".join(w[i:i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else ([" ".join(w)] if w else [])
+    sh = [" ".join(w[i:i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else ([" ".join(w)] if w else [])
+    sh = set(sh) if distinct else sh
     hs = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in sh]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
