@@ -108,6 +108,17 @@ def _dense_scorer(k: int):
     return run
 
 
+def _runs(ends, most: int = 1 << 20):
+    """Stretches of rows whose sizes, given by their running sum, come to about ``most``."""
+    import numpy as np
+    lo = 0
+    while lo < len(ends):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def _sparse_scorer(k: int):
     def run(batches):
         import numpy as np
@@ -133,13 +144,18 @@ def _sparse_scorer(k: int):
                 q_row = pc.index_in(q.field("id"), query_ids).to_numpy(zero_copy_only=False)
                 q_term = pc.index_in(q.field("term"), terms).to_numpy(zero_copy_only=False)
                 q_w = q.field("w").to_numpy(zero_copy_only=False)
-                scores = np.zeros((len(query_ids), len(item_ids)))
-                touched = np.zeros(scores.shape, dtype=bool)
-                for row, term, w in zip(q_row, q_term, q_w):
-                    at = col[edge[term]:edge[term + 1]]
-                    scores[row, at] += w * weight[edge[term]:edge[term + 1]]
-                    touched[row, at] = True
-                scores = np.round(scores, SCORE_DIGITS)
+                shape = (len(query_ids), len(item_ids))
+                scores, touched = np.zeros(shape[0] * shape[1]), np.zeros(shape[0] * shape[1], dtype=bool)
+                # Each (query, term) meets the term's postings; so many products at a time.
+                sizes = edge[q_term + 1] - edge[q_term]
+                ends = np.cumsum(sizes)
+                for lo, hi in _runs(ends):
+                    n = sizes[lo:hi]
+                    at = np.arange(n.sum()) + np.repeat(edge[q_term[lo:hi]] - (np.cumsum(n) - n), n)
+                    cell = np.repeat(q_row[lo:hi].astype(np.int64) * shape[1], n) + col[at]
+                    np.add.at(scores, cell, np.repeat(q_w[lo:hi], n) * weight[at])
+                    touched[cell] = True
+                scores, touched = np.round(scores, SCORE_DIGITS).reshape(shape), touched.reshape(shape)
                 scores[~touched] = -np.inf
                 yield _emit(query_ids, item_ids, scores, k)
     return run

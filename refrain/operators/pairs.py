@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from refrain.config import DEFAULTS
 from refrain.functions.text import item_text, short_ref, structured_query
 from refrain.operators.folds import hash_order, permutation
-from refrain.operators.positions import ordinal
+from refrain.operators.positions import ordinal_by_sample
 from refrain.operators.sessions import last_texts, stored_order, train_transitions
 from refrain.operators.topk import top_k
 
@@ -100,7 +100,7 @@ def random_negatives(batched: DataFrame, items: DataFrame, seed: int,
     Draws address items by number, so there is no batch-by-catalog product. A batch stops after
     ``n * tries`` rejections and may then hold fewer.
     """
-    numbered = ordinal(item_texts(items), F.col("item_id"), "item_no")
+    numbered = ordinal_by_sample(item_texts(items), "item_id", "item_no")
     size = items.agg(F.count("*").alias("n")).scalar()
     draws = n + n * tries
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("batch_id"), F.col("draw")).cast("binary"))

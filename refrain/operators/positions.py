@@ -52,6 +52,20 @@ def ordinal(df: DataFrame, key: Column, name: str = "ordinal", width: int = 3) -
                       F.substring("_key", 1, width), name).drop("_key"))
 
 
+def ordinal_by_sample(df: DataFrame, col: str, name: str = "ordinal", chunks: int = 128, sample: int = 8192) -> DataFrame:
+    """Global 1-based position by a column of unique strings of any shape.
+
+    Chunks end at keys of a sample (rows whose hash falls on one residue), so ids that share a long prefix spread like
+    any others. The driver sees about ``sample`` keys and keeps ``chunks`` of them.
+    """
+    every = max(1, df.count() // sample)
+    keys = [r[0] for r in df.where(F.pmod(F.xxhash64(col), F.lit(every)) == 0).select(col).collect() if r[0] is not None]
+    keys.sort(key=lambda k: k.encode())
+    ends = keys[len(keys) // chunks::max(1, len(keys) // chunks)][:chunks]
+    below = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col(col))) if ends else F.lit(0)
+    return positions(df, [], [F.col(col)], F.coalesce(below, F.lit(0)), name)
+
+
 def lookback(cases: DataFrame, events: DataFrame, seen: str, pos: str, k: int,
              keys: list[str]) -> DataFrame:
     """The last ``k`` events before each case, as rows with ``back`` = 1 (newest) … k.

@@ -64,9 +64,10 @@ def unit_vectors(raw: DataFrame, dim: int) -> DataFrame:
             .withColumn("vec", l2_normalise(F.col("vec"))))
 
 
-def item_neighbours(vectors: DataFrame, k: int) -> DataFrame:
-    """Item-to-item lists, the item itself included."""
-    return (dense_topk(vectors.select(F.col("item_id").alias("query_id"), "vec"), vectors, k)
+def item_neighbours(vectors: DataFrame, k: int, wanted: DataFrame | None = None) -> DataFrame:
+    """Item-to-item lists, the item itself included; only of the items that ``wanted(item_id)`` names, if given."""
+    asked = vectors if wanted is None else vectors.join(wanted.distinct(), "item_id", "left_semi")
+    return (dense_topk(asked.select(F.col("item_id").alias("query_id"), "vec"), vectors, k)
             .withColumnRenamed("query_id", "anchor_id"))
 
 
@@ -77,7 +78,8 @@ def max_recent(anchors: DataFrame, vectors: DataFrame, recent_k: int, topn: int)
     item-to-item lists of that length give the exact answer and the similarity work depends on
     the catalog, not on the number of sessions.
     """
-    near = (item_neighbours(vectors, topn + recent_k).groupBy("anchor_id")
+    used = anchors.select(F.explode("anchors").alias("item_id"))
+    near = (item_neighbours(vectors, topn + recent_k, used).groupBy("anchor_id")
             .agg(F.collect_list(F.struct("item_id", "score")).alias("near")))
     scored = (anchors.withColumn("anchor_id", F.explode(F.array_distinct("anchors"))).join(near, "anchor_id")
               .select("case_id", "anchors", F.inline("near"))
@@ -88,7 +90,7 @@ def max_recent(anchors: DataFrame, vectors: DataFrame, recent_k: int, topn: int)
 
 def last_neighbours(anchors: DataFrame, vectors: DataFrame, topk: int) -> DataFrame:
     """Neighbours of the single last play, itself excluded: ``anchors(case_id, anchor_id)``."""
-    near = item_neighbours(vectors, topk + 1).where("anchor_id <> item_id")
+    near = item_neighbours(vectors, topk + 1, anchors.select(F.col("anchor_id").alias("item_id"))).where("anchor_id <> item_id")
     near = (by_score(near.drop("rank"), "anchor_id", topk).groupBy("anchor_id")
             .agg(F.collect_list(F.struct("item_id", "score", "rank")).alias("near")))
     return anchors.join(near, "anchor_id").select("case_id", F.inline("near"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DIGEST_WIDTH = 3
+BUCKET_ROWS = 100_000
 
 
 def write_predictions(records: DataFrame, path: str) -> None:
@@ -19,14 +20,20 @@ def record_hashes(records: DataFrame) -> DataFrame:
 def payload_hash(records: DataFrame) -> DataFrame:
     """Digest of all records, independent of partitioning.
 
-    Record hashes are gathered in order per hash prefix (bounded buckets), then the 4096 bucket
-    digests are hashed once more.
+    Record hashes are gathered in order per hash prefix, which is as long as the number of records asks for; the digests
+    of the prefixes are hashed again, three hex digits shorter each time, until one is left.
     """
-    hashes = record_hashes(records).withColumn("bucket", F.substring("sha", 1, DIGEST_WIDTH))
-    buckets = hashes.groupBy("bucket").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("sha")), "").cast("binary"), 256).alias("d"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda s: s["d"]), "").cast("binary"), 256).alias("payload_sha"))
+    hashes = record_hashes(records)
+    width = DIGEST_WIDTH
+    while hashes.count() > BUCKET_ROWS * 16 ** width and width < 15:
+        width += 3
+    now = hashes.select("sha", F.col("sha").alias("d"))
+    while width >= 0:
+        now = (now.groupBy(F.substring("sha", 1, width).alias("b"))
+               .agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sha", "d"))), lambda s: s["d"]), "").cast("binary"), 256)
+                    .alias("d")).select(F.col("b").alias("sha"), "d"))
+        width -= 3
+    return now.select(F.col("d").alias("payload_sha"))
 
 
 def hash_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,6 +19,6 @@ def read_turns(spark: SparkSession, path: str, split: str | None = None) -> Data
 
 def newest_file_rows(spark: SparkSession, glob: str) -> DataFrame:
     """Rows of the lexicographically last file a glob matches."""
-    df = spark.read.parquet(glob).withColumn("_file", F.input_file_name())
-    newest = df.agg(F.max("_file").alias("f")).scalar()
-    return df.where(F.col("_file") == newest).drop("_file")
+    # Only names are listed here; the one file is read afterwards.
+    newest = spark.read.format("binaryFile").load(glob).agg(F.max("path").alias("f")).first()["f"]
+    return spark.read.parquet(newest)
