@@ -102,9 +102,12 @@ def style_packet(seed: Column, age_group: Column, release_date: Column, specific
 
 
 def augmented_prompt(prompt: Column, item_text: Column, packet: Column | None = None, min_words: int = 120,
-                     overused: Column | None = None) -> Column:
-    """System prompt with the per-response directives, blocks parted by blank lines."""
-    parts = [prompt]
+                     overused: Column | None = None, grounded: bool = False) -> Column:
+    """System prompt with the per-response directives, blocks parted by blank lines.
+
+    ``grounded`` adds the directive that goes with rich item facts.
+    """
+    parts = [F.concat(prompt, F.lit(T.GROUNDING_DIRECTIVE)) if grounded else prompt]
     if packet is not None:
         parts += [F.lit(T.PACKET_INTRO), packet]
     if min_words > 0:

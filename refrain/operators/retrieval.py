@@ -164,16 +164,29 @@ def union_sources(ranked: dict[str, DataFrame]) -> DataFrame:
 
 # ---- text encoder --------------------------------------------------------------------
 
-def hashed_encoder(texts: DataFrame, corpus: DataFrame, width: int = 256):
-    """Default encoder: hashed TF-IDF with unit length, fitted on the corpus, applied to ``texts``."""
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-
-    def counts(df):
-        return HashingTF(inputCol="ws", outputCol="tf", numFeatures=width).transform(
-            df.withColumn("ws", words(F.col("text"))))
-    model = IDF(inputCol="tf", outputCol="idf").fit(counts(corpus))
-    scaled = Normalizer(inputCol="idf", outputCol="unit").transform(model.transform(counts(texts)))
-    return scaled.drop("ws", "tf", "idf").withColumn("vec", vector_to_array("unit")).drop("unit", "text")
+def term_bucket(term: Column, width: int) -> Column:
+    return F.pmod(F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(width)).cast("int")
+
+
+def hashed_encoder(texts: DataFrame, corpus: DataFrame, width: int = 256) -> DataFrame:
+    """Default encoder: terms hashed to ``width`` buckets, TF-IDF with unit length, fitted on ``corpus(text)``.
+
+    ``texts`` keeps its columns but ``text`` and gets ``vec``; a text without known weight gets zeros. Only built-in functions,
+    so any engine can repeat it.
+    """
+    keys = [c for c in texts.columns if c != "text"]
+    buckets = lambda df: F.transform(words(F.col("text")), lambda t: term_bucket(t, width))
+    n = corpus.count()
+    df = corpus.select(F.explode(F.array_distinct(buckets(corpus))).alias("b")).groupBy("b").agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(float(n)) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0))
+    counts = texts.select(*keys, F.explode_outer(buckets(texts)).alias("b")).groupBy(*keys, "b").agg(F.count("b").alias("tf"))
+    weighted = counts.join(F.broadcast(df), "b", "left").withColumn("w", F.col("tf") * idf)  # at most ``width`` rows are broadcast
+    packed = weighted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "w")))).alias("f"))
+    length = F.sqrt(F.aggregate("f", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    found = F.map_from_entries("f")
+    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at(found, i), F.lit(0.0)))
+    return (packed.withColumn("_n", length).withColumn("_d", dense)
+            .select(*keys, F.when(F.col("_n") > 0, F.transform("_d", lambda x: x / F.col("_n"))).otherwise(F.col("_d")).alias("vec")))
 
 
 def encode(texts: DataFrame, encoder: Column) -> DataFrame:

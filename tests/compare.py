@@ -62,10 +62,13 @@ def compare(df, con, sql: str) -> str:
 
 
 def session(cores: str = "8"):
+    import tempfile
+
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master(f"local[{cores}]").appName("refrain")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", os.environ.get("REFRAIN_CHECKPOINTS") or tempfile.mkdtemp(prefix="refrain-test-"))
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

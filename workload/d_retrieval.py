@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from refrain.config import DEFAULTS
 
-from refrain.operators import queries as Q, retrieval as R, sessions as S
+from refrain.operators import folds as FO, pairs as P, queries as Q, retrieval as R, sessions as S
 from refrain.operators.topk import by_score
 from refrain.plans import serving
 from refrain.sources.candidates import nested
 from workload import tables as T
 from workload.registry import query
-from workload.sql import DOC_TEXT, SOURCE_NEEDS, SOURCE_SQL, bm25, dot, ensemble, masked, max_recent, neighbours, q, session_vecs, words
+from workload.sql import DOC_TEXT, ITEM_TEXT, SOURCE_NEEDS, SOURCE_SQL, bm25, dot, encoded, ensemble, masked, max_recent, neighbours, q, session_vecs, words
 
 PARTS_DOCS = f"SELECT item_id, {DOC_TEXT} AS text FROM items"
 DOCS = "SELECT cast(doc_id AS varchar) AS item_id, text FROM documents"
@@ -120,19 +120,49 @@ def d12(spark, sf):
     return out(R.session_topk(serving.session_vectors(c, weighting="newest", normalize=False), c.factors, c.plays, 200))
 
 
-def text_lists(spark, sf):
-    """Last three utterances of each case, encoded by the default encoder, against item texts."""
-    t = T.turns(spark, sf)
-    texts = Q.text_queries(T.dev_cases(spark, sf), S.utterances_of(t), DEFAULTS.text_query_turns).select("case_id", "session_id", "text")
-    corpus = documents(spark, sf)
-    queries = R.hashed_encoder(texts, corpus)
-    return queries, R.hashed_encoder(corpus, corpus)
+def text_queries(spark, sf):
+    """Last three utterances of each case."""
+    return Q.text_queries(T.dev_cases(spark, sf), S.utterances_of(T.turns(spark, sf)), DEFAULTS.text_query_turns).select(
+        "case_id", "session_id", "text")
 
 
-@query("D13_text_retriever")
+def catalog_texts(spark, sf):
+    return P.item_texts(T.items(spark, sf)).select("item_id", F.col("item_text").alias("text"))
+
+
+def played_before(spark, sf):
+    """What a case's session played before its turn; the retriever never lists it."""
+    cases = T.dev_cases(spark, sf).select("case_id", "session_id", F.col("turn_number").alias("_upto"))
+    return S.plays_of(T.turns(spark, sf)).join(cases, "session_id").where("turn_number < _upto").select("case_id", "item_id").distinct()
+
+
+QUERY_TEXTS = """SELECT case_id, session_id, string_agg(content, ' ' ORDER BY pos) AS text FROM (
+  SELECT c.case_id, c.session_id, t.content, t.pos, row_number() OVER (PARTITION BY c.case_id ORDER BY t.pos DESC) AS r
+  FROM dev_cases c JOIN turns t ON t.session_id = c.session_id AND t.role = 'user' AND t.pos <= c.pos) WHERE r <= 3 GROUP BY 1, 2"""
+BEFORE = """SELECT DISTINCT d.case_id, trim(t.content) AS item_id FROM dev_cases d JOIN turns t ON t.session_id = d.session_id
+  WHERE t.role = 'music' AND t.turn_number < d.turn_number"""
+
+
+def text_list_sql(queries: str, items: str, k: int) -> str:
+    """``queries`` and ``items``: encoded, as id, dim, x; every item is ranked, also those that share no term."""
+    return f"""SELECT case_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, item_id) AS rank FROM (
+  SELECT c.case_id, i.item_id, round(coalesce(s.x, 0.0), 6) AS score FROM cs c CROSS JOIN items i
+  LEFT JOIN (SELECT a.id AS case_id, b.id AS item_id, sum(a.x * b.x) AS x FROM ({queries}) a JOIN ({items}) b USING (dim) GROUP BY 1, 2) s
+    ON s.case_id = c.case_id AND s.item_id = i.item_id
+  WHERE NOT EXISTS (SELECT 1 FROM bf WHERE bf.case_id = c.case_id AND bf.item_id = i.item_id))) WHERE rank <= {k}"""
+
+
+CATALOG = f"SELECT item_id AS id, {ITEM_TEXT} AS text FROM items"
+QT = "SELECT case_id AS id, text FROM qt"
+
+
+@query("D13_text_retriever", q("dev_cases turns items", f"""
+WITH qt AS ({QUERY_TEXTS}), cs AS (SELECT case_id FROM qt), bf AS ({BEFORE})
+{text_list_sql(encoded(QT, CATALOG), encoded(CATALOG, CATALOG), 300)}"""))
 def d13(spark, sf):
-    queries, items = text_lists(spark, sf)
-    return out(R.masked_topk(queries.select("case_id", "vec"), items, DEFAULTS.text_topk))
+    items = catalog_texts(spark, sf)
+    queries = R.hashed_encoder(text_queries(spark, sf).drop("session_id"), items)
+    return out(R.masked_topk(queries, R.hashed_encoder(items, items), DEFAULTS.text_topk, played_before(spark, sf)))
 
 
 @query("D14_stored_lists", q("plays vfold", f"""
@@ -144,13 +174,26 @@ def d14(spark, sf):
     return table.select("source", "case_id", "item_id", "score", F.col("rank").cast("long").alias("rank"), (F.col("rank") <= 200).alias("listed"))
 
 
-@query("D15_heldout_lists")
+def _fold_sql(k: int) -> str:
+    seen = f"SELECT case_id AS id, text FROM qt JOIN sess_folds USING (session_id) WHERE fold <> {k}"
+    asked = f"SELECT case_id AS id, text FROM qt JOIN sess_folds USING (session_id) WHERE fold = {k}"
+    lists = text_list_sql(encoded(asked, seen), encoded(CATALOG, seen), 200).replace("FROM cs c", f"FROM (SELECT * FROM cs WHERE fold = {k}) c")
+    return f"SELECT {k} AS fold, case_id, item_id, rank FROM ({lists})"
+
+
+@query("D15_heldout_lists", q("dev_cases turns items sess_folds", f"""
+WITH qt AS ({QUERY_TEXTS}), cs AS (SELECT case_id, fold FROM qt JOIN sess_folds USING (session_id)), bf AS ({BEFORE})
+{' UNION ALL '.join(_fold_sql(k) for k in range(5))}"""))
 def d15(spark, sf):
-    from refrain.operators.folds import with_folds
-    queries, items = text_lists(spark, sf)
-    folds = with_folds(queries.select("case_id", "session_id")).select("case_id", "fold")
-    lists = R.masked_topk(queries.select("case_id", "vec"), items, DEFAULTS.train_topk)
-    return lists.join(folds, "case_id").select("fold", "case_id", "item_id", F.col("rank").cast("long").alias("rank"))
+    """Each fold's encoder is fitted on the texts of the other folds and lists only the cases it has not seen."""
+    cases = FO.with_folds(text_queries(spark, sf))
+    items, played, lists = catalog_texts(spark, sf), played_before(spark, sf), None
+    for k in range(DEFAULTS.folds):
+        seen = FO.held_in(cases, k).select("text")
+        asked = R.hashed_encoder(FO.held_out(cases, k).select("case_id", "text"), seen)
+        part = R.masked_topk(asked, R.hashed_encoder(items, seen), DEFAULTS.train_topk, played).withColumn("fold", F.lit(k))
+        lists = part if lists is None else lists.unionByName(part)
+    return lists.select("fold", "case_id", "item_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("D16_masked_with_score", q("plays lastvec vcollab", masked("lastvec", "vcollab", 300)))

@@ -68,8 +68,8 @@ def attributed(spark, sf):
 @query("E6_pool_artist_counts", q("scored feats", """
 SELECT case_id, artist_key, count(*) AS n FROM scored JOIN feats USING (item_id) WHERE artist_key <> '' AND pool_pos <= 300 GROUP BY 1, 2"""))
 def e6(spark, sf):
-    p = attributed(spark, sf).where((F.col("artist_key") != "") & (F.col("pool_pos") <= DEFAULTS.pool_k))
-    return p.groupBy("case_id", "artist_key").agg(F.count("*").alias("n"))
+    counted = FE.pool_counts(attributed(spark, sf)).where((F.col("artist_key") != "") & (F.col("pool_pos") <= DEFAULTS.pool_k))
+    return counted.select("case_id", "artist_key", F.col("_artist_n").cast("long").alias("n")).distinct()
 
 
 @query("E7_pool_album_counts", q("scored feats", """
@@ -184,10 +184,13 @@ def e17(spark, sf):
     return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
 
 
-@query("E18_overused_bigrams", r"""
+OVERUSED = r"""
 WITH w AS (SELECT string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') AS w FROM conversations),
 b AS (SELECT w[i] || ' ' || w[i + 1] AS bigram FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w))
-SELECT bigram, n FROM (SELECT bigram, count(*) AS n FROM b GROUP BY 1 ORDER BY n DESC, bigram LIMIT 20) WHERE n >= 3""")
+SELECT bigram, n FROM (SELECT bigram, count(*) AS n FROM b GROUP BY 1 ORDER BY n DESC, bigram LIMIT 20) WHERE n >= 3"""
+
+
+@query("E18_overused_bigrams", OVERUSED)
 def e18(spark, sf):
     rows = T.table(spark, sf, "conversations").select(F.explode(bigrams(F.col("text"))).alias("bigram"))
     return RS.overused_bigrams(rows)

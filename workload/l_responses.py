@@ -12,9 +12,10 @@ from refrain.sources import artifacts
 from workload import tables as T
 from workload.a_sources import RECORDS, records
 from workload.c_joins import TRANSCRIPT
+from workload.e_aggregates import OVERUSED, e18
 from workload.h_scalars import AGE_SQL, CLEAN, REGISTER_SQL, TONAL_SQL, WORDS, age_of, lit
 from workload.registry import query
-from workload.sql import q
+from workload.sql import encoded, q
 
 
 def profiles(spark, sf):
@@ -77,10 +78,14 @@ def l4(spark, sf):
     return top_texts(spark, sf)
 
 
-@query("L5_text_encoder")
+DOC_IDS = "SELECT doc_id AS id, text FROM documents"
+
+
+@query("L5_text_encoder", f"SELECT id AS doc_id, dim, round(x, 9) AS x FROM ({encoded(DOC_IDS, DOC_IDS)})")
 def l5(spark, sf):
     docs = T.table(spark, sf, "documents").select("doc_id", "text")
-    return R.hashed_encoder(docs, docs).select("doc_id", F.posexplode("vec").alias("dim", "x")).where("x <> 0")
+    dims = R.hashed_encoder(docs, docs).select("doc_id", F.posexplode("vec").alias("dim", "x")).where("x <> 0")
+    return dims.select("doc_id", "dim", F.round("x", 9).alias("x"))
 
 
 ROLE, GUIDE, PERSONAL = "You are a guide.\n", "Answer with one item.\n", "Mind the listener."
@@ -121,16 +126,17 @@ def l7(spark, sf):
     return packets(spark, sf).select("case_id", "packet")
 
 
-AUGMENTED = f"""SELECT p.case_id, p.prompt || chr(10) || chr(10) || concat_ws(chr(10) || chr(10), {lit(FT.PACKET_INTRO)}, k.packet, {lit(FT.MIN_WORDS.format(n=120))},
-  {lit(FT.BEGIN_DIRECTLY)}, {lit(FT.TRACK_HEADER)} || t.item_text, {lit(FT.OVERUSED_PREFIX)} || (SELECT string_agg(o_orderpriority, ', ' ORDER BY o_orderpriority) FROM (SELECT DISTINCT o_orderpriority FROM orders)) || '.') AS prompt
+AUGMENTED = f"""SELECT p.case_id, p.prompt || {lit(FT.GROUNDING_DIRECTIVE)} || chr(10) || chr(10) || concat_ws(chr(10) || chr(10), {lit(FT.PACKET_INTRO)}, k.packet, {lit(FT.MIN_WORDS.format(n=120))},
+  {lit(FT.BEGIN_DIRECTLY)}, {lit(FT.TRACK_HEADER)} || t.item_text, {lit(FT.OVERUSED_PREFIX)} || (SELECT string_agg(bigram, ', ' ORDER BY n DESC, bigram) FROM ({OVERUSED})) || '.') AS prompt
 FROM ({PROMPT}) p JOIN ({PACKET}) k USING (case_id) JOIN ({TOP_TEXT}) t USING (case_id)"""
 
 
 @query("L8_augmented_prompt", q("plays items", AUGMENTED))
 def l8(spark, sf):
     rows = prompts(spark, sf).join(packets(spark, sf), "case_id")
-    listed = T.table(spark, sf, "orders").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ", ").alias("l")).scalar()
-    return rows.select("case_id", RS.augmented_prompt(F.col("prompt"), F.col("item_text"), F.col("packet"), 120, listed).alias("prompt"))
+    listed = e18(spark, sf).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("n"), "bigram"))),
+                                                         lambda s: s["bigram"]), ", ").alias("l")).scalar()
+    return rows.select("case_id", RS.augmented_prompt(F.col("prompt"), F.col("item_text"), F.col("packet"), 120, listed, grounded=True).alias("prompt"))
 
 
 MAPPED = "CASE WHEN role = 'user' THEN 'user' ELSE 'model' END || ': ' || content"

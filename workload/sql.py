@@ -259,3 +259,15 @@ SELECT item_id, trim(lower(coalesce(array_to_string(artist_name, chr(31)), '')))
   {tokens(spaced('track_name'))} AS title_toks, {tokens(spaced('artist_name'))} AS artist_toks,
   {tokens("concat_ws(' ', " + ', '.join([spaced('track_name'), spaced('artist_name'), spaced('album_name'), spaced('tag_list[1:12]')]) + ')')} AS meta_toks,
   coalesce(album_id[1], album_name[1], '') AS album_key FROM items""", "items")
+
+
+def encoded(texts: str, corpus: str, width: int = 256) -> str:
+    """``texts``: id, text; ``corpus``: id, text. Unit TF-IDF over hashed terms: id, dim, x (zeros left out)."""
+    def counts(src: str) -> str:
+        return (f"SELECT id, cast('0x' || left(md5(term), 8) AS bigint) % {width} AS dim, count(*) AS tf "
+                f"FROM (SELECT id, unnest({words('text')}) AS term FROM ({src}) x) y GROUP BY 1, 2")
+    return f"""
+WITH cb AS ({counts(corpus)}), tb AS ({counts(texts)}), df AS (SELECT dim, count(*) AS df FROM cb GROUP BY 1),
+w AS (SELECT id, dim, tf * ln(((SELECT count(*) FROM ({corpus}) z) + 1.0) / (coalesce(df, 0) + 1.0)) AS w FROM tb LEFT JOIN df USING (dim)),
+n AS (SELECT id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1)
+SELECT id, cast(dim AS integer) AS dim, w / n AS x FROM w JOIN n USING (id) WHERE w <> 0"""
