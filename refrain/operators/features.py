@@ -101,22 +101,39 @@ def with_tag_key(df: DataFrame, prefix: str) -> DataFrame:
     return df.withColumn(f"{prefix}a", a).withColumn(f"{prefix}b", b)
 
 
+SETS_IN_A_PACK = 64
+
+
 def recency_parts(pool: DataFrame, plays: DataFrame, feats: DataFrame):
-    """Recency weight per (case, artist) and weighted tag Jaccard per (case, tag set)."""
+    """Recency weight per (case, artist) and weighted tag Jaccard per (case, tag set), both in whole trillionths.
+
+    Tags are numbered. A case's distinct played sets go into packs of about ``SETS_IN_A_PACK`` and meet its pool's sets
+    (at most a pool) inside a row, so no (pool set, played set) pair is ever shuffled; packs are summed afterwards.
+    """
     # Whole trillionths: sums of integers come out alike in any order.
     age = F.col("pos_total") - F.col("pos") + 1
-    weighted = plays.groupBy("case_id", "item_id").agg(F.sum(F.round(F.lit(1e12) / age).cast("long")).alias("w")).join(feats.select("item_id", "artist_key", "tags"), "item_id")
+    weighted = plays.groupBy("case_id", "item_id").agg(F.sum(F.round(F.lit(1e12) / age).cast("long")).alias("w")).join(
+        feats.select("item_id", "artist_key", "tags"), "item_id")
     by_artist = (weighted.where("artist_key <> ''").groupBy("case_id", "artist_key")
                  .agg(F.sum("w").alias("artist_recency")))
-    played_sets = (with_tag_key(weighted.where(F.size("tags") > 0), "_p").groupBy("case_id", "_pa", "_pb")
-                   .agg(F.sum("w").alias("w"), F.first("tags").alias("tags")))
-    played_tags = played_sets.select("case_id", "_pa", "_pb", "w", F.size("tags").alias("_pn"), F.explode("tags").alias("tag"))
-    pool_sets = pool.select("case_id", "tags").where(F.size("tags") > 0)
-    pool_sets = with_tag_key(pool_sets, "_t").dropDuplicates(["case_id", "_ta", "_tb"])
-    pool_tags = pool_sets.select("case_id", "_ta", "_tb", F.size("tags").alias("_tn"), F.explode("tags").alias("tag"))
-    shared = (pool_tags.join(played_tags, ["case_id", "tag"]).groupBy("case_id", "_ta", "_tb", "_pa", "_pb")
-              .agg(F.count("*").alias("c"), F.max("w").cast("double").alias("w"), F.max("_tn").alias("_tn"), F.max("_pn").alias("_pn")))
-    by_tags = shared.groupBy("case_id", "_ta", "_tb").agg(F.sum(F.round(F.col("w") * F.col("c") / (F.col("_tn") + F.col("_pn") - F.col("c"))).cast("long")).alias("tag_recency"))
+    sets = (with_tag_key(weighted.where(F.size("tags") > 0), "_p").groupBy("case_id", "_pa", "_pb")
+            .agg(F.sum("w").cast("double").alias("w"), F.first("tags").alias("tags")))
+    n = sets.groupBy("case_id").agg(F.ceil(F.count("*") / SETS_IN_A_PACK).cast("int").alias("_packs"))
+    hashed = lambda tags: F.transform(tags, lambda t: F.xxhash64(t))  # noqa: E731  numbers intersect faster than strings
+    played = (sets.join(n, "case_id").groupBy("case_id", F.pmod("_pb", F.col("_packs")).alias("_pack"))
+              .agg(F.collect_list(F.struct("w", hashed(F.col("tags")).alias("tags"), F.size("tags").alias("n"))).alias("played")))
+    pool_sets = with_tag_key(pool.select("case_id", "tags").where(F.size("tags") > 0), "_t").dropDuplicates(["case_id", "_ta", "_tb"])
+    asked = pool_sets.groupBy("case_id").agg(
+        F.collect_list(F.struct("_ta", "_tb", hashed(F.col("tags")).alias("tags"), F.size("tags").alias("n"))).alias("asked"))
+
+    def shared(a, p):
+        c = F.size(F.array_intersect(a["tags"], p["tags"]))
+        return F.when(c > 0, F.round(p["w"] * c / (a["n"] + p["n"] - c)).cast("long")).otherwise(F.lit(0).cast("long"))
+
+    score = lambda a: F.struct(a["_ta"].alias("_ta"), a["_tb"].alias("_tb"), F.aggregate(
+        "played", F.lit(0).cast("long"), lambda t, p: t + shared(a, p)).alias("r"))
+    met = asked.join(played, "case_id").select("case_id", F.inline_outer(F.transform("asked", score)))  # outer: else a filter evaluates it twice
+    by_tags = met.groupBy("case_id", "_ta", "_tb").agg(F.sum("r").alias("tag_recency"))
     return by_artist, by_tags
 
 
