@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from refrain.llm.common import lower_ascii, whole_text
+from refrain.llm.common import lower_ascii, stage, whole_text
 
 K = 3
 #: Phrases with their labels, each K words or more.
@@ -106,7 +106,8 @@ def spans(voted: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, n_words, places)``; places are ``(label, base, first, last, score)`` in order."""
-    voted = votes(docs, text)
+    # Written once: spans and texts are read from it, and the texts themselves are passed over once.
+    voted = stage(votes(docs, text), "license-votes")
     # Only texts and their few hits are left here.
     place = F.struct("first", "last", "label", "base", "score")
     found = spans(voted).groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_list(place)).alias("places"))
