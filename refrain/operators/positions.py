@@ -7,6 +7,9 @@ map-side, their prefix sums become offsets, and only a chunk is ever sorted at o
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -62,8 +65,8 @@ def ordinal_by_sample(df: DataFrame, col: str, name: str = "ordinal", chunks: in
     keys = [r[0] for r in df.where(F.pmod(F.xxhash64(col), F.lit(every)) == 0).select(col).collect() if r[0] is not None]
     keys.sort(key=lambda k: k.encode())
     ends = keys[len(keys) // chunks::max(1, len(keys) // chunks)][:chunks]
-    below = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col(col))) if ends else F.lit(0)
-    return positions(df, [], [F.col(col)], F.coalesce(below, F.lit(0)), name)
+    below = reduce(operator.add, [F.when(F.col(col) >= e, 1).otherwise(0) for e in ends], F.lit(0))
+    return positions(df, [], [F.col(col)], below, name)
 
 
 def lookback(cases: DataFrame, events: DataFrame, seen: str, pos: str, k: int,

@@ -208,3 +208,35 @@ def test_recency_counts_repeats(spark):
     p = spark.createDataFrame([("c", "x", 1, 3), ("c", "y", 2, 3), ("c", "x", 3, 3)], "case_id string, item_id string, pos long, pos_total long")
     w = {r.item_id: round(r.w, 6) for r in FE.recency_weights(p).collect()}
     assert w == {"x": 1.333333, "y": 0.5}
+
+
+def test_ids_with_a_long_common_prefix_spread_over_chunks(spark):
+    from refrain.operators.positions import ordinal_by_sample
+    ids = spark.range(20_000).select(F.format_string("track_%08d", "id").alias("item_id"))
+    got = ordinal_by_sample(ids, "item_id", "no").select("item_id", "no").collect()
+    assert len(got) == 20_000 and all(int(r["item_id"][6:]) + 1 == r["no"] for r in got)
+    assert ordinal_by_sample(ids.limit(0), "item_id", "no").count() == 0
+
+
+def test_quantiles_with_an_outlier(spark):
+    from refrain.operators.weighting import quantiles, value_counts
+    df = spark.range(1001).select(F.when(F.col("id") == 1000, F.lit(1e18)).otherwise(F.col("id").cast("double")).alias("v"))
+    r = quantiles(df, "v", [0.5, 0.9]).first()
+    assert (r["q5"], r["q9"]) == (500.0, 900.0)
+    assert value_counts(df, "v", {"n": F.count("*")}).agg(F.max("c_n")).first()[0] == 1001
+
+
+def test_no_gold_play_in_its_history(spark):
+    from workload import tables as T
+    sf = "/root/testdata/sf0.001"
+    last = T.all_plays(spark, sf).where("pos = pos_total").select("case_id", "pos")
+    assert T.plays(spark, sf).join(last, ["case_id", "pos"]).count() == 0
+    assert T.gold(spark, sf).count() == last.count()
+
+
+def test_missing_fold_fails_loudly(spark):
+    from refrain.operators.retrieval import stack_folds
+    rows = spark.createDataFrame([("a", 0, [1.0]), ("a", 1, [2.0]), ("b", 0, [3.0])], "item_id string, fold int, vec array<double>")
+    assert stack_folds(rows.where("item_id = 'a'"), "item_id", 2).first()["vec"] == [1.0, 2.0]
+    with pytest.raises(Exception, match="not all 2 folds"):
+        stack_folds(rows, "item_id", 2).collect()
