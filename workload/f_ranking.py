@@ -79,7 +79,8 @@ ROUTED = MARGIN + """, routed AS (SELECT s.*, margin, margin < 0.25 OR margin >=
 Z = ("CASE WHEN stddev_pop({0}) OVER (PARTITION BY case_id) > 1e-9 THEN ({0} - avg({0}) OVER (PARTITION BY case_id)) "
      "/ stddev_pop({0}) OVER (PARTITION BY case_id) ELSE 0.0 END")
 NN = "(CASE WHEN isnan(s_second) THEN NULL ELSE s_second END)"
-FINAL = ROUTED + f""", blended AS (SELECT *, round({Z.format('s_routed')} + coalesce({Z.format(NN)}, 0.0), 12) AS final FROM routed),
+FINAL = ROUTED + f""", raw AS (SELECT *, {Z.format('s_routed')} + coalesce({Z.format(NN)}, 0.0) AS blend FROM routed),
+blended AS (SELECT *, round(blend, 12) AS final FROM raw),
 kept AS (SELECT * FROM blended b WHERE NOT EXISTS (SELECT 1 FROM returned r WHERE r.case_id = b.case_id AND r.item_id = b.item_id)),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY final DESC, pool_pos) AS rank FROM kept)"""
 
@@ -104,10 +105,10 @@ def f10(spark, sf):
     return T.scored(spark, sf).select("case_id", "item_id", F.round(RK.zscore_nan(F.col("s_second")), 6).alias("z"))
 
 
-@query("F11_blend", q("scored returned", f"WITH {FINAL} SELECT case_id, item_id, round(final, 9) AS final FROM blended"))
+@query("F11_blend", q("scored returned", f"WITH {FINAL} SELECT case_id, item_id, round(blend, 6) AS final FROM blended"))
 def f11(spark, sf):
-    final = F.round(F.round("final", 12), 9).alias("final")
-    return RK.blended(RK.with_route(T.scored(spark, sf))).select("case_id", "item_id", final)
+    # Rounded once, on either side.
+    return RK.blended(RK.with_route(T.scored(spark, sf))).select("case_id", "item_id", F.round("final", 6).alias("final"))
 
 
 @query("F12_score_route_full", q("scored returned", f"WITH {FINAL} SELECT case_id, item_id, rank FROM ordered"))
