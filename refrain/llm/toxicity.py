@@ -29,6 +29,7 @@ SMOOTHING, PENALTY, STEPS = 5.0, 1e-4, 25
 MAX_ROWS = 4000
 CUT = 0.7
 FOLDS = 2
+BLOCK_FEATURES = 1 << 19
 CHUNK = 4096
 LABELS_BROADCAST_BYTES = 64 << 20
 
@@ -98,21 +99,32 @@ def descend(loss, x, steps: int, kept: int = 8):
 
 
 def fit_weights(rows: list, labels, ratios):
-    """Weights and intercept of the logistic regression over length-one features."""
+    """Weights and intercept of the logistic regression over length-one features.
+
+    Passes run over blocks of rows, so only the buckets themselves (4 bytes each) are held at once.
+    """
     import numpy as np
-    size = len(ratios)
-    rows = [r if len(r) else np.zeros(1, dtype=np.int64) for r in rows]
-    lens = np.array([len(r) for r in rows])
-    idx, first = np.concatenate(rows), np.append(0, np.cumsum(lens)[:-1])
-    val = ratios[idx]
-    val /= np.repeat(np.sqrt(np.add.reduceat(val * val, first) + 1e-9), lens)
+    size, blocks, at = len(ratios), [], 0
+    while at < len(rows):
+        stop, n = at, 0
+        while stop < len(rows) and (stop == at or n + len(rows[stop]) <= BLOCK_FEATURES):
+            n += len(rows[stop])
+            stop += 1
+        part = [r if len(r) else np.zeros(1, dtype=np.int32) for r in rows[at:stop]]
+        lens = np.array([len(r) for r in part])
+        blocks.append((np.concatenate(part), lens, np.append(0, np.cumsum(lens)[:-1]), slice(at, stop)))
+        at = stop
+    norms = [np.sqrt(np.add.reduceat(ratios[idx] ** 2, first) + 1e-9) for idx, _, first, _ in blocks]
 
     def loss(x):
-        z = np.add.reduceat(x[idx] * val, first) + x[size]
-        f = (np.logaddexp(0, z) - labels * z).mean() + PENALTY / 2 * (x[:size] @ x[:size])
-        e = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels) / len(rows)
-        g = np.bincount(idx, weights=np.repeat(e, lens) * val, minlength=size) + PENALTY * x[:size]
-        return f, np.append(g, e.sum())
+        w, f, g, b = x[:size] * ratios, 0.0, np.zeros(size), 0.0
+        for (idx, lens, first, of), norm in zip(blocks, norms):
+            z = np.add.reduceat(w[idx], first) / norm + x[size]
+            f += float((np.logaddexp(0, z) - labels[of] * z).sum())
+            e = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels[of]) / len(rows)
+            g += np.bincount(idx, weights=np.repeat(e / norm, lens), minlength=size)
+            b += float(e.sum())
+        return f / len(rows) + PENALTY / 2 * (x[:size] @ x[:size]), np.append(g * ratios + PENALTY * x[:size], b)
 
     x = descend(loss, np.zeros(size + 1), STEPS)
     return x[:size], float(x[size])
@@ -238,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, ma
         counts, n = sent.value
         texts, marks, folds = [], [], []
         for batch in batches:
-            texts += [buckets(t.as_py(), bits=bits) for t in batch.column("text")]
+            texts += [buckets(t.as_py(), bits=bits).astype(np.int32) for t in batch.column("text")]
             marks += batch.column("toxic").to_pylist()
             folds += batch.column("fold").to_pylist()
         if not texts:
