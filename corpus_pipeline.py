@@ -58,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, source, ids, n_tokens)`` of documents whose ids decode to their text."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN), path)
+    both = bpe.encode(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN, decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     checked = F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("token ids do not decode to the text")).cast("binary"))
     return both.select("doc_id", "source", checked.alias("ids"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))

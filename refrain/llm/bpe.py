@@ -125,6 +125,11 @@ class Vocabulary:
                 at -= length[token]
         return tokens
 
+    def forget(self) -> None:
+        self.pieces.clear()
+        self.pieces.before = {}
+        self.fits.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, memoryview(ids).cast("I")))
 
@@ -185,28 +190,36 @@ def spelled_out(pattern: str) -> str:
     return "".join(out)
 
 
-def _added(df: DataFrame, value: Column, out: str, maker) -> DataFrame:
-    """``df`` with a binary column that ``maker()`` makes from ``value`` in the workers.
+def _added(df: DataFrame, value: Column, outs: list[str], maker) -> DataFrame:
+    """``df`` with binary columns made from ``value`` by the functions ``maker()`` gives in the workers, each from the
+    result before it; its last function ends a task.
 
     Rows leave in small batches, so that neither side ever holds the results of many texts at once.
     """
-    kept = df.drop(out)
-    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.BinaryType())])
+    kept = df.drop(*outs)
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(o, T.BinaryType()) for o in outs]])
 
     def run(batches):
         import pyarrow as pa
-        one = maker()
+        *steps, done = maker()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                made = pa.array([one(v.as_py()) for v in part.column(part.num_columns - 1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=schema.names)
+                now, made = part.column(part.num_columns - 1), []
+                for step in steps:
+                    now = pa.array([step(v.as_py()) for v in now], pa.binary())
+                    made.append(now)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=schema.names)
+        done()
 
     return df.select(*[df[c] for c in kept.columns], value.alias("_value")).mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add ``ids``: the text's token ids as little-endian unsigned 32-bit integers, no special tokens."""
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add ``ids``: the text's token ids as little-endian unsigned 32-bit integers, no special tokens.
+
+    ``decoded`` names a further column for the bytes that those ids stand for, decoded in the same pass.
+    """
     ranks, key = _shared(df.sparkSession, ranks_path)
     split_by = spelled_out(pattern)
 
@@ -214,16 +227,20 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
         import regex
         vocabulary = worker_cache(key, lambda: Vocabulary(read_ranks(ranks.value)))
         split, packed = regex.compile(split_by).findall, vocabulary.pieces.__getitem__
-        return lambda t: b"".join(map(packed, split(t)))
+        # A worker lives on after the task; what it remembers should not.
+        back = [vocabulary.decode] if decoded else []
+        return (lambda t: b"".join(map(packed, split(t)))), *back, vocabulary.forget
 
-    return _added(df, whole_text(text), ids, maker)
+    return _added(df, whole_text(text), [ids, decoded] if decoded else [ids], maker)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``: the bytes that packed ids stand for."""
     ranks, key = _shared(df.sparkSession, ranks_path)
-    return _added(df, F.coalesce(F.col(ids), F.lit(b"")), out,
-                  lambda: worker_cache(key, lambda: Vocabulary(read_ranks(ranks.value))).decode)
+    def maker():
+        return worker_cache(key, lambda: Vocabulary(read_ranks(ranks.value))).decode, lambda: None
+
+    return _added(df, F.coalesce(F.col(ids), F.lit(b"")), [out], maker)
 
 
 ship(__name__)

@@ -79,9 +79,8 @@ def op7_toxicity(spark, sf_dir):
 def op8_byte_bpe(spark, sf_dir):
     """Token ids of every document, and the text they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    both = bpe.decode(ids.select("doc_id", F.sha2("ids", 256).alias("ids_sha256"), "ids"), path)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids_sha256",
+    both = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, decoded="decoded")
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -26,6 +26,7 @@ from refrain.llm.common import ship, stage, whole_text
 
 WORDS, RADIUS, SEED = 4, 4, 42
 BLOCK = 1024
+BROADCAST_BYTES = 24 << 20
 PART = 1 << 16
 
 
@@ -117,6 +118,8 @@ def linked(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFram
     pairs = sizes.where("n = 2").select(F.col("high").alias("u"), F.col("low").alias("v")).where(
         F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
     large = sizes.where("n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    if large.count() * 24 <= BROADCAST_BYTES:  # else both sides are shuffled
+        large = F.broadcast(large)
     packs = (keyed.join(large, "key")
              .groupBy("key", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("part"))
              .agg(F.collect_list("fp").alias("fps")))

@@ -243,6 +243,13 @@ def test_bpe(monkeypatch, spark, docs, rows):
     assert Counter((g["doc_id"], g["n_tokens"], g["ids_sha256"], g["decoded_sha256"]) for g in got) == Counter(map(want, rows))
 
 
+def test_bpe_decodes_ids_of_a_table(docs, rows):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "ids")
+    got = bpe.decode(ids, path).collect()
+    assert Counter((r["doc_id"], bytes(r["decoded"]).decode()) for r in got) == Counter((r[0], r[1] or "") for r in rows)
+
+
 def test_bpe_random():
     import tiktoken
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
