@@ -8,7 +8,8 @@ or a secret that complements it co-occurs there.
 
 Positions are code points, end exclusive, found by cutting a text at the matches of a pattern: the gaps' lengths and the
 matches' lengths add up to the places. Only DataFrame operations are used. The interval join meets parts of one text in
-cells as wide as the scope; parts don't overlap within a kind, so a cell holds a bounded number of them.
+cells as wide as the scope: a partner that begins behind a weak span by its start, one that ends before it by its end, so
+a span's length doesn't matter. Parts don't overlap within a kind, so a cell holds a bounded number of starts and ends.
 
 Defined results: a null text counts as empty; an empty text has no spans; repeated rows each get a result; an empty table
 gives an empty table; extra columns are not carried.
@@ -98,14 +99,16 @@ def linked_weak(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     having = found.where(F.size("weak") > 0)
     weak = _rows(having, "weak")
     every = _rows(having.select("doc_id", "doc_key", F.concat("strong", "weak").alias("both")), "both")
-    cell = F.floor(F.col("start") / scope)
-    left = weak.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    right = every.select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key"), F.col("start").alias("_start"), F.col("end").alias("_end"),
-                         F.col("part").alias("_part"), cell.alias("_cell"))
+    cell = lambda at: F.floor(at / scope)
+    meets = lambda *at: F.explode(F.array(*[F.struct(F.lit(side).alias("side"), cell(c).alias("cell")) for side, c in at]))
+    start, end = F.col("start"), F.col("end")
+    left = weak.withColumn("at", meets(("start", end), ("start", end + scope), ("end", start - scope), ("end", start)))
+    right = every.select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key"), start.alias("_start"), end.alias("_end"),
+                         F.col("part").alias("_part"), meets(("start", start), ("end", end)).alias("_at"))
     fits = (((F.col("part") == "secret") & (F.col("_part") == "identifier")) | ((F.col("part") == "identifier") & (F.col("_part") == "secret"))
             | ((F.col("part") == "endpoint") & F.col("_part").isin("identifier", "secret")))
     apart = F.greatest(F.col("_start") - F.col("end"), F.col("start") - F.col("_end"))
-    on = (left["doc_id"].eqNullSafe(right["_id"]) & (F.col("doc_key") == F.col("_key")) & (F.col("cell") == F.col("_cell"))
+    on = (left["doc_id"].eqNullSafe(right["_id"]) & (F.col("doc_key") == F.col("_key")) & (F.col("at") == F.col("_at"))
           & fits & (apart >= 0) & (apart <= scope))
     return left.join(right, on, "left_semi").select("doc_id", "doc_key", "start", "end", "kind").distinct()
 
