@@ -2,7 +2,7 @@
 
 A credential comes in parts: an access identifier, a secret and an endpoint. Strong parts (an assignment to a secret-like
 name, an AWS-style access identifier, a long hexadecimal string) are reported wherever they stand. Weak candidates
-(a bare token, an assigned user or client identifier, a host with a port or a URL) say little alone: an interval
+(a bare token, an assigned user or client identifier, a URL, each of any length) say little alone: an interval
 join looks for the other parts within ``SCOPE`` code points, and a weak candidate is reported only when an identifier
 or a secret that complements it co-occurs there.
 
@@ -30,9 +30,9 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 STRONG = ("assign", "access", "hex")
 #: Weak kinds, their part of a credential, and their patterns.
 WEAK = {
-    "user": ("identifier", r"(?i)(?:user(?:name)?|client_?id|access_?key_?id|login|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,64}"),
-    "bare": ("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_]{32,88}={0,2}(?![A-Za-z0-9+/_=-])"),
-    "endpoint": ("endpoint", r"(?i)(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20\"'<>]{4,200}"),
+    "user": ("identifier", r"(?i)(?:user(?:name)?|client_?id|access_?key_?id|login|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,}"),
+    "bare": ("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_]{32,}={0,2}(?![A-Za-z0-9+/_=-])"),
+    "endpoint": ("endpoint", r"(?i)(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20\"'<>]{4,}"),
 }
 PARTS = {"assign": "secret", "access": "identifier", "hex": "secret"} | {k: p for k, (p, _) in WEAK.items()}
 ORDER = {k: i for i, k in enumerate((*STRONG, *WEAK))}

@@ -13,3 +13,9 @@ def test_parts_meet_end_to_start_at_any_length(spark):
     texts = (f"{token}    user=bob", f"user=bob    {token}", "x " * 255 + f" {endpoint}" + " " * 389 + "password=hunter22",
              f"{token}{' ' * 512}user=bob", f"{token}{' ' * 513}user=bob")
     assert linked(spark, *texts) == [[("user", 2010, 2018)], [("user", 0, 8)], [("endpoint", 511, 711)], [("user", 2518, 2526)], []]
+
+
+def test_weak_spans_are_whole(spark):
+    key, bare, user, url = "AKIA" + "B7" * 8, "aB3/" * 60, "user=" + "n.o-" * 30, "jdbc:mysql://" + "host/db?a=b&" * 40
+    assert linked(spark, f"{key} {bare}", f"{key} {bare}==", f"{user} password=hunter22", f"{url} password=hunter22") == [
+        [("bare", 21, 261)], [("bare", 21, 263)], [("user", 0, 125)], [("endpoint", 0, 493)]]
