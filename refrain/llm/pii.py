@@ -29,7 +29,10 @@ LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 LABEL = frozenset(string.ascii_letters + string.digits + "-")
 PHONE = frozenset(" ().-" + string.digits)
 LETTERS_DIGITS = frozenset(string.ascii_letters + string.digits)
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 CUES = ("iban", "account", "acct", "passport", "ssn", "customer id", "tax id")
+#: What may stand between a cue and its number: marks, and words that a mark follows.
+MARKS, NUMBER_WORDS, GAP = frozenset(" :=#.-"), ("number", "num", "nr", "no"), 12
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -108,14 +111,31 @@ def phone_from(text: str, plus: int) -> tuple[int, int] | None:
     return end, sum(c in DIGITS for c in text[plus:end])
 
 
+def number_word(text: str, at: int) -> int:
+    """Length of a word for number at ``at`` that a mark follows, else 0."""
+    ahead = text[at:at + 7].translate(LOWER)
+    return next((len(w) for w in NUMBER_WORDS if ahead.startswith(w) and text[at + len(w):at + len(w) + 1] in MARKS), 0)
+
+
+def norway(text: str, at: int) -> bool:
+    """Whether the letters NO are an IBAN's country, with its check digits set apart."""
+    return text.startswith("NO", at) and text[at + 2:at + 3] in (" ", "-") and text[at + 3:at + 4] in DIGITS
+
+
 def account_after(text: str, cue: str, at: int) -> tuple[int, int] | None:
     """The identifier behind a cue that ends before ``at``: letters and digits in groups, at least 6 digits."""
     n = len(text)
-    start = at
-    while start < n and start - at < 12 and text[start] not in DIGITS and not (cue == "iban" and text[start].isupper()):
-        if text[start] not in " :=#.-" and not text[start:start + 3].lower() in ("no ", "no.", "no:"):
+    start, marks = at, 0
+    while start < n and marks < GAP and text[start] not in DIGITS:
+        if text[start] in MARKS:
+            start, marks = start + 1, marks + 1
+            continue
+        word = number_word(text, start)
+        if cue == "iban" and text[start].isupper() and (not word or norway(text, start)):
+            break
+        if not word:
             return None
-        start += 3 if text[start] not in " :=#.-" else 1
+        start += word
     end = start
     follows = LETTERS_DIGITS if cue == "iban" else DIGITS  # what may come after a space or hyphen inside the number
     while end < n and (text[end] in LETTERS_DIGITS or (text[end] in " -" and end + 1 < n and text[end + 1] in follows)):
@@ -146,8 +166,7 @@ def _anchors():
     for d in string.digits:
         found.add_word(d, ("digit", 1))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, (cue, len(form)))
+        found.add_word(cue, (cue, len(cue)))
     found.make_automaton()
     return found
 
@@ -157,7 +176,8 @@ def find_spans(text: str, anchors) -> list[tuple[str, int, int]]:
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     floor = dict.fromkeys(KINDS, 0)  # no span of a kind begins before the end of the last match of that kind
     tried_ip = 0
-    for last, (anchor, size) in anchors.iter(text):
+    # A-Z in lower case: places stay the same, and a cue is found however it is spelled.
+    for last, (anchor, size) in anchors.iter(text.lower() if text.isascii() else text.translate(LOWER)):
         at = last + 1 - size
         if anchor == "digit":
             if at >= floor["card"]:
