@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from refrain.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from refrain.llm import bpe, exact_dedup, mixing, near_copies, toxicity
 from refrain.llm.common import stage, table
 
 NEAR_WORDS, NEAR_BITS = 2, 6
@@ -40,14 +40,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are connected, the one with the smallest id.
+    """Of documents that near copies connect, the one with the smallest id.
 
-    The stage is after texts that share 0.8 of their five-word shingles. One edited word breaks five such shingles, but
-    two of two words; so fingerprints of distinct word pairs stay far closer than those of longer shingles, while other
-    texts are as far apart. Six bits link over four fifths of the pairs at 0.8, and none that share under 0.3.
+    Near copies share 0.8 of their five-word shingles, which is checked exactly. SimHash proposes where to look. One
+    edited word breaks five such shingles, but two of two words; so fingerprints of distinct word pairs stay far closer
+    than those of longer shingles. Components of six bits hold over four fifths of the pairs at 0.8.
     """
-    near = simhash.near_duplicates(_rows(docs), NEAR_WORDS, NEAR_BITS, distinct=True)
-    return _only(docs, near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return near_copies.drop(docs, NEAR_WORDS, NEAR_BITS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
