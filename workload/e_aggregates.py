@@ -40,15 +40,14 @@ def e2(spark, sf):
 
 @query("E3_play_popularity", q("plays", "SELECT item_id, count(*) AS plays FROM plays GROUP BY 1"))
 def e3(spark, sf):
-    # A count needs no play order, so this reads purchases directly.
-    return FE.play_popularity(T.purchases(spark, sf))
+    return FE.play_popularity(T.plays(spark, sf))
 
 
 @query("E4_max_popularity", q("plays", """
 SELECT item_id, round(plays::double / (SELECT coalesce(max(n), 1) FROM (SELECT count(*) AS n FROM plays GROUP BY item_id)), 9) AS popularity
 FROM (SELECT item_id, count(*) AS plays FROM plays GROUP BY 1)"""))
 def e4(spark, sf):
-    p = FE.play_popularity(T.purchases(spark, sf))
+    p = FE.play_popularity(T.plays(spark, sf))
     return p.select("item_id", F.round(F.col("plays") / FE.max_popularity(p), 9).alias("popularity"))
 
 

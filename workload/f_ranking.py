@@ -33,8 +33,7 @@ def f2(spark, sf):
 @query("F3_last_k", q("plays", """
 SELECT case_id, string_agg(item_id, ',' ORDER BY pos DESC) AS items FROM plays WHERE pos > pos_total - 5 GROUP BY 1"""))
 def f3(spark, sf):
-    order = [F.desc(c) for c in ("o_orderdate", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
-    return last_k_array(T.purchases(spark, sf), "case_id", order, 5, "item_id", "items").select(
+    return last_k_array(T.plays(spark, sf), "case_id", [F.desc("pos")], 5, "item_id", "items").select(
         "case_id", F.array_join("items", ",").alias("items"))
 
 
