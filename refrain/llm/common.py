@@ -42,6 +42,16 @@ def worker_cache(key: str, build):
     return getattr(shelf, key)
 
 
+def stretches(octets: bytes, size: int = 1 << 22):
+    """A text of tokens between blanks in pieces of about ``size`` bytes, cut at blanks."""
+    at = 0
+    while at < len(octets):
+        cut = len(octets) if at + size >= len(octets) else octets.find(b" ", at + size)
+        cut = len(octets) if cut < 0 else cut
+        yield octets[at:cut] if at or cut < len(octets) else octets
+        at = cut
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, f"llm-{name}")

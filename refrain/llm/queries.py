@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from refrain.llm import bpe, chat, exact_dedup, license_scan, mixing, pii, secret_scan, simhash, topk_tiles, toxicity
+from refrain.llm import (bpe, chat, exact_dedup, lexical_search, license_scan, mixing, pii, secret_scan, simhash, source_audit, token_planes,
+                         topk_tiles, toxicity)
 from refrain.llm.common import table
 
 TOP_K, EVERY = 5, 50
@@ -99,8 +100,26 @@ def op10_chat_format(spark, sf_dir):
         "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op11_token_planes(spark, sf_dir):
+    """Token ids of every document, written in planes and read back."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_planes.read(token_planes.write(table(spark, sf_dir, "documents"), path))
+
+
+def op12_source_audit(spark, sf_dir):
+    """Divergence of the sources of every language, and the terms each uses most above it."""
+    return source_audit.audit(table(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", "rank")
+
+
+def op13_lexical_search(spark, sf_dir):
+    """The ten best documents for every benchmark item."""
+    found = lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_personal_data, op4_exact_top_k, op5_license_scan,
-                                   op6_secret_scan, op7_toxicity, op8_byte_bpe, op9_simhash, op10_chat_format)}
+                                   op6_secret_scan, op7_toxicity, op8_byte_bpe, op9_simhash, op10_chat_format, op11_token_planes,
+                                   op12_source_audit, op13_lexical_search)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
@@ -125,5 +144,37 @@ ORACLES = {
           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
           sum(n)::BIGINT AS formatted_chars FROM f GROUP BY conv_id""",
 }
+_LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format("text")
+ORACLES["op12_source_audit"] = rf"""
+    WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOW} AS t FROM documents),
+    w AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT rid) >= 30),
+    v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+    c AS (SELECT lang, source, term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+    g AS (SELECT d.lang, d.source, any_value(coalesce(v, 0)) AS v, any_value(coalesce(n, 0))::HUGEINT AS n FROM d LEFT JOIN v USING (lang)
+          LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY 1, 2) s ON s.lang = d.lang AND s.source = d.source GROUP BY 1, 2),
+    p AS (SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 5)) // (n + 5 * v) AS p
+          FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+    q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (a + 5)) // (sum(a) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q
+          FROM (SELECT lang, term, sum(c) AS a FROM c GROUP BY 1, 2)),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+              LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY 1, 2, 4),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+          FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+    SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50"""
+ORACLES["op13_lexical_search"] = rf"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LOW} AS t FROM documents), b AS (SELECT row_number() OVER () AS qid, item_id, {_LOW} AS t FROM benchmark),
+    w AS (SELECT rid, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    q AS (SELECT DISTINCT qid, item_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM b),
+    n AS (SELECT rid, count(*) AS n FROM w GROUP BY 1), s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM n),
+    m AS (SELECT rid, 10 + (90 * n * docs) // l AS m FROM n, s), tf AS (SELECT rid, doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2, 3),
+    k AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+          FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), s),
+    x AS (SELECT qid, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+          FROM q JOIN tf USING (term) JOIN k USING (term) JOIN m USING (rid) GROUP BY 1, 2, 3, 4),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank FROM x WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
