@@ -30,14 +30,18 @@ import struct
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from refrain.llm.common import ship, stage, whole_text, worker_cache
+from refrain.llm.common import ship, stage, stretches, whole_text, worker_cache
 
 END_ID, CHUNK, LEVEL = 2, 1 << 16, 3
 MAGIC = b"TKPL"
 HEADER = "<4sBBHI"  # magic, kind of plane, bytes an id, planes, ids
 KINDS = {"byte": 8, "bit": 32}
 #: Words remembered (twice this many at most) and their longest length; bounds on memory, results do not depend on them.
-REMEMBERED, LONGEST_REMEMBERED, STRETCH = 150_000, 48, 1 << 20
+REMEMBERED, LONGEST_REMEMBERED, STRETCH = 300_000, 48, 1 << 20
+#: ASCII blanks as one blank, and A-Z lowered besides; signs that may follow a word.
+BLANKS = bytes(32 if b in (9, 10, 13) else b for b in range(256))
+LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in BLANKS)
+SIGNS = b".,;:!?)"
 
 _STORED = ("part int, chunk int, first long, n int, crc32 long, payload binary, "
            "pieces array<struct<nth:long,doc_id:long,start:long,at:int,n:int,whole:boolean>>")
@@ -82,17 +86,26 @@ def unpack(block: bytes):
 # ---- encoding ------------------------------------------------------------------------
 
 class Words(dict):
-    """Packed ids of words, encoded by the library when first met."""
+    """Packed ids of words (as bytes), encoded by the library when first met.
+
+    The tokenizer lower-cases and splits letters from signs, so A-Z are lowered first, and signs behind a plain letter are
+    words of their own. Neither is done where it could make a special token or where the letter could change its kind.
+    """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.encode, self.before = tokenizer.encode, {}
-        self[""] = b""
+        self[b""] = b""
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         packed = self.before.get(word)
         if packed is None:
-            packed = struct.pack(f"<{len(ids)}I", *ids) if (ids := self.encode(word, add_special_tokens=False).ids) else b""
+            core = word.rstrip(SIGNS)
+            if core and core != word and (last := core.decode()[-1]).isalpha() and last < "\u0250" and last != "\u0130":
+                packed = self[core] + self[word[len(core):]]
+            else:
+                ids = self.encode(word.decode(), add_special_tokens=False).ids
+                packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
                 self.before = dict(self)
@@ -100,22 +113,17 @@ class Words(dict):
             self[word] = packed
         return packed
 
-    def text(self, text: str) -> bytes:
-        at, out = 0, []
-        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        while at < len(text):
-            cut = len(text) if at + STRETCH >= len(text) else text.find(" ", at + STRETCH)
-            cut = len(text) if cut < 0 else cut
-            out += map(self.__getitem__, text[at:cut].split(" "))
-            at = cut
-        return b"".join(out)
+    def text(self, text: bytes) -> bytes:
+        plain = text.translate(BLANKS if b"<|" in text else LOWERED)
+        return b"".join(b"".join(map(self.__getitem__, piece.split(b" "))) for piece in stretches(plain, STRETCH))
 
 
-def _open(state: bytes, key: str):
+def _open(state: bytes, key: str) -> Words:
+    """A worker's words outlive its tasks."""
     def build():
         from tokenizers import Tokenizer
-        return Tokenizer.from_buffer(state)
-    return Words(worker_cache(key, build))
+        return Words(Tokenizer.from_buffer(state))
+    return worker_cache(key, build)
 
 
 def _writer(shared, key: str, end_id: int, chunk: int, planes: str):
@@ -171,7 +179,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, chunk: int
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text")).withColumn("_hash", F.xxhash64("text"))
     order = ["doc_id", "_hash", "_row"]
     dealt = keyed.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
-    return stage(dealt.select("doc_id", "text").mapInArrow(_writer(shared, key, end_id, chunk, planes), _STORED), "token-planes")
+    octets = dealt.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return stage(octets.mapInArrow(_writer(shared, key, end_id, chunk, planes), _STORED), "token-planes")
 
 
 # ---- reading -------------------------------------------------------------------------
