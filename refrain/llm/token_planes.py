@@ -94,14 +94,20 @@ class Words(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.encode, self.before = tokenizer.encode, {}
+        self.encode, self.model, self.before = tokenizer.encode, tokenizer.model.tokenize, {}
         self[b""] = b""
+        probe = "Ab, cd.\tIng 12 <|endoftext|>the\n!!"
+        if list(memoryview(self.text(probe.encode())).cast("I")) != self.encode(probe, add_special_tokens=False).ids:
+            raise ValueError("the tokenizer doesn't lower-case, or its words reach over blanks or signs")
 
     def __missing__(self, word: bytes) -> bytes:
         packed = self.before.get(word)
         if packed is None:
             core = word.rstrip(SIGNS)
-            if core and core != word and (last := core.decode()[-1]).isalpha() and last < "\u0250" and last != "\u0130":
+            if word.isalpha():  # ASCII letters alone: neither normalising nor splitting changes them
+                ids = [t.id for t in self.model(word.lower().decode())]
+                packed = struct.pack(f"<{len(ids)}I", *ids)
+            elif core and core != word and (last := core.decode()[-1]).isalpha() and last < "\u0250" and last != "\u0130":
                 packed = self[core] + self[word[len(core):]]
             else:
                 ids = self.encode(word.decode(), add_special_tokens=False).ids
