@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 # Source names, their order, and their fusion weights.
 SOURCE_WEIGHTS = {
@@ -54,6 +54,7 @@ class Settings:
     history_turns: int = 3
     context_tracks: int = 5
     live_topk: int = 100
+    bm25_topk: int = 100
     als_topk: int = 200
     als_decay: float = 0.8
     text_topk: int = 300
@@ -74,3 +75,7 @@ class Settings:
 
 
 DEFAULTS = Settings()
+
+#: What the offline matrices are built with: longer look-back and lists, no audio.
+TRAINING = replace(DEFAULTS, recent_k=DEFAULTS.train_recent_k, live_topk=DEFAULTS.train_topk, bm25_topk=DEFAULTS.train_bm25_topk,
+                   weights={s: w for s, w in SOURCE_WEIGHTS.items() if s in POOL_SOURCES_9})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +44,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/refrain/{name}-{uuid.uuid4().hex}"
 
 
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """What the files under ``paths`` look like from outside (names, sizes, times), as one short text; no file is read."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "length", F.unix_micros("modificationTime").alias("time"))
+    r = files.agg(F.count("*").alias("n"), F.sum("length").alias("size"), F.bit_xor(F.xxhash64("path", "length", "time")).alias("mix")).first()
+    return f"{r['n']}-{r['size'] or 0}-{(r['mix'] or 0) % (1 << 64):016x}"
+
+
+def stored(spark: SparkSession, name: str, build) -> DataFrame:
+    """The table of that name in the shared folder, built by ``build()`` where it does not stand yet; other applications find it too."""
+    path = f"{shared_dir(spark)}/refrain/stored/{name}"
+    return spark.read.parquet(path) if _exists(spark, f"{path}/_SUCCESS") else materialize(build(), path)
+
+
 def materialize(df: DataFrame, path: str, force: bool = False, smoke: int | None = None,
                 smoke_order: list[str] | None = None) -> DataFrame:
     """Write a stage once: skip when its table stands, rebuild on ``force``, subset on ``smoke``."""

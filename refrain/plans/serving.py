@@ -75,8 +75,8 @@ def retrieve(corpus: Corpus, settings: Settings = DEFAULTS, stored: dict[str, Da
     docs = documents(corpus.items)
     last = Q.last_item_parts(corpus.cases, corpus.plays, corpus.items)
     talk = Q.conversation_parts(corpus.cases, corpus.said, corpus.plays, corpus.items)
-    out["bm25_lastmusic"] = R.bm25(R.terms_of(last), docs, n).withColumnRenamed("query_id", "case_id")
-    out["bm25_convo"] = R.bm25(R.terms_of(talk), docs, n).withColumnRenamed("query_id", "case_id")
+    out["bm25_lastmusic"] = R.bm25(R.terms_of(last), docs, settings.bm25_topk).withColumnRenamed("query_id", "case_id")
+    out["bm25_convo"] = R.bm25(R.terms_of(talk), docs, settings.bm25_topk).withColumnRenamed("query_id", "case_id")
     vectors = session_vectors(corpus, settings) if vectors is None else vectors
     out["als_session"] = R.session_topk(vectors, corpus.factors, corpus.plays, settings.als_topk)
     out.update(stored or {})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from refrain.functions.facts import decade, popularity_band, year_of
 from refrain.functions.text import clean_tags, tokens, word_count
-from refrain.operators import blocks, boosting, features as FE, pairs as P, ranking as RK, responses as RS, retrieval as R, sessions as S
+from refrain.operators import blocks, features as FE, pairs as P, ranking as RK, responses as RS, retrieval as R, sessions as S
 from refrain.operators.fusion import fused_pool, weighted_rrf
 from refrain.operators.folds import session_folds
 from refrain.operators.positions import lookback, positions
@@ -184,15 +184,6 @@ def test_history_json_matches_json_dumps(spark):
     assert df.select(RS.history_json(F.col("m")).alias("j")).first().j == want
 
 
-def test_lambda_rank_learns_the_gold(spark):
-    rows = [(f"c{c}", f"i{i}", i + 1, 1.0 if i == 7 else 0.0, float(i == 7), float((c * 7 + i) % 5)) for c in range(40) for i in range(12)]
-    df = spark.createDataFrame(rows, "case_id string, item_id string, pool_pos int, label double, a double, b double")
-    data = boosting.ranking_rows(df, ["a", "b"])
-    model = boosting.fit_lambda_rank(data, rounds=3, cut_every=2)
-    top = model.transform(data).groupBy("case_id").agg(F.max_by("item_id", "score").alias("best"))
-    assert top.where("best <> 'i7'").count() == 0
-
-
 def test_negatives_never_repeat_or_hit_positives(spark):
     items = spark.createDataFrame([(f"i{i}", [f"t{i % 30}"], ["a"], ["al"], []) for i in range(60)],
                                   "item_id string, track_name array<string>, artist_name array<string>, album_name array<string>, tag_list array<string>")

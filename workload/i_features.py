@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from refrain.config import LIVE_SOURCES, POOL_SOURCES_8, POOL_SOURCES_9
+from refrain.config import LIVE_SOURCES, POOL_SOURCES_8, POOL_SOURCES_9, TRAINING
 from refrain.operators import boosting as B, features as FE
 from refrain.plans import serving
 from workload import tables as T
 from workload.d_retrieval import candidates
 from workload.e_aggregates import IN8, IN9, gold_cases, pool_of
 from workload.registry import query
-from workload.sql import cte, dot, inter, jaccard, q, rrf, tokens
+from workload.sql import CTES, NEEDS, SOURCE_NEEDS, TRAINING_SQL, cte, dot, inter, jaccard, q, rrf, session_vecs, tokens
 
 # Items the catalog lacks keep empty attributes.
 EMPTY = "coalesce(artist_key, '') AS artist_key, coalesce(album_key, '') AS album_key, coalesce(tags, []) AS tags"
@@ -155,24 +157,57 @@ def i4(spark, sf):
     return f.select("item_id", "artist_key", "album_key", flat("tags"), flat("title_toks"), flat("artist_toks"), flat("meta_toks"))
 
 
-def case_table(spark, sf, sources):
+# ---- the offline matrices: longer lists, newest-weighted session vectors, eight or nine sources, no audio ----
+
+cte("nvec", session_vecs(True, False), "plays factors")
+cte("tcands", TRAINING_SQL, SOURCE_NEEDS + " nvec")
+for _n, _in in ((8, IN8), (9, IN9)):
+    cte(f"tpool{_n}", rrf("tcands", extra=_in), "tcands")
+    _names = {"pool": f"tpool{_n}", "cands": "tcands", "svec": "nvec", **{c: f"t{_n}_{c}" for c in ("pf", "f_ctx", "f_src", "f_glob", "f_alb", "f_trip")}}
+    _swap = lambda text: re.sub(r"\b(" + "|".join(_names) + r")\b(?! *\()", lambda m: _names[m[0]], text)
+    for _c in ("pf", "f_ctx", "f_src", "f_glob", "f_alb", "f_trip"):
+        cte(_names[_c], _swap(CTES[_c]), _swap(" ".join(NEEDS[_c])))
+
+
+@T.staged("training_candidates")
+def training_candidates(spark, sf):
     c = T.corpus(spark, sf)
-    rows = serving.features(c, candidates(spark, sf), pool_sources=sources)
-    return FE.label_pool(rows, gold_cases(spark, sf))
+    lists = T.stored_lists(spark, sf)
+    lists["text_retriever"] = lists["text_retriever"].where(F.col("rank") <= TRAINING.train_topk)
+    return serving.retrieve(c, TRAINING, lists, training_vectors(c))
 
 
-@query("I5_case_features", q("cands gold", " UNION ALL ".join(f"""
-SELECT {n} AS n, p.case_id, any_value(p.n_pool) AS n_pool, coalesce(max(CASE WHEN p.item_id = g.item_id THEN p.pool_pos END), -1) AS gt_pos, round(sum(1.0 / p.pool_pos), 6) AS inv
-FROM (SELECT *, count(*) OVER (PARTITION BY case_id) AS n_pool FROM ({rrf('cands', extra=w)})) p JOIN gold g ON g.case_id = p.case_id GROUP BY 2"""
-    for n, w in ((8, IN8), (9, IN9)))))
-def i5(spark, sf):
-    out = None
-    for n, sources in ((8, POOL_SOURCES_8), (9, POOL_SOURCES_9)):
-        part = case_table(spark, sf, sources).groupBy("case_id").agg(
-            F.count("*").alias("n_pool"), F.max("gt_pos").cast("long").alias("gt_pos"), F.round(F.sum("rrf_rank_inv"), 6).alias("inv"))
-        part = part.withColumn("n", F.lit(n))
-        out = part if out is None else out.unionByName(part)
-    return out.select("n", "case_id", "n_pool", "gt_pos", "inv")
+def training_vectors(c):
+    return serving.session_vectors(c, TRAINING, weighting="newest", normalize=False)
+
+
+def _matrix(sources):
+    def build(spark, sf):
+        c = T.corpus(spark, sf)
+        rows = serving.features(c, training_candidates(spark, sf), TRAINING, training_vectors(c), sources)
+        return FE.label_pool(rows, gold_cases(spark, sf))
+    return build
+
+
+MATRICES = {n: T.staged(f"training_matrix_{n}")(_matrix(s)) for n, s in ((8, POOL_SOURCES_8), (9, POOL_SOURCES_9))}
+
+
+def _case_features(n):
+    sql = q(f"t{n}_f_ctx t{n}_f_src t{n}_f_glob t{n}_f_alb t{n}_f_trip gold", f"""
+SELECT case_id, item_id, f.pool_pos, coalesce(w.pool_pos, -1) AS gt_pos, {', '.join(ALL)} FROM t{n}_f_ctx f JOIN t{n}_f_src USING (case_id, item_id)
+JOIN t{n}_f_glob USING (case_id, item_id) JOIN t{n}_f_alb USING (case_id, item_id) JOIN t{n}_f_trip USING (case_id, item_id)
+LEFT JOIN (SELECT p.case_id, pool_pos FROM tpool{n} p JOIN gold g ON g.case_id = p.case_id AND g.item_id = p.item_id) w USING (case_id)""")
+
+    def run(spark, sf):
+        m = MATRICES[n](spark, sf)
+        long = [F.col(c).cast("long").alias(c) for c in ("pool_pos", "gt_pos")]
+        return m.select("case_id", "item_id", *long, *[c if c == "recency_score" else F.round(c, 6 if c in SIX else 9).alias(c) for c in ALL])
+    return sql, run
+
+
+for _name, _n in (("I5_case_features", 9), ("I5_eight_sources", 8)):
+    _sql, _run = _case_features(_n)
+    query(_name, _sql)(_run)
 
 
 def customer_weights(spark, sf):
@@ -181,10 +216,10 @@ def customer_weights(spark, sf):
     return mean_one(c, "p", "w", 0.25)
 
 
-@query("I6_ranking_dataset", q("pool gold", """
+@query("I6_ranking_dataset", q("tpool9 gold", """
 WITH w AS (SELECT cast(c_custkey AS varchar) AS case_id, pow(abs(c_acctbal) / 10000 + 0.01, 0.25) AS x FROM customer)
-SELECT p.case_id, p.item_id, CASE WHEN g.item_id IS NULL THEN 0.0::double ELSE 1.0::double END AS label, round(x / (SELECT avg(x) FROM w), 6) AS weight
-FROM pool p JOIN w USING (case_id) LEFT JOIN gold g ON g.case_id = p.case_id AND g.item_id = p.item_id"""))
+SELECT p.case_id, p.item_id, p.pool_pos, CASE WHEN g.item_id IS NULL THEN 0.0::double ELSE 1.0::double END AS label, round(x / (SELECT avg(x) FROM w), 6) AS weight
+FROM tpool9 p JOIN w USING (case_id) LEFT JOIN gold g ON g.case_id = p.case_id AND g.item_id = p.item_id"""))
 def i6(spark, sf):
-    rows = B.ranking_rows(FE.label_pool(features(spark, sf), gold_cases(spark, sf)), FE.variant(None, "large"), customer_weights(spark, sf))
-    return rows.select("case_id", "item_id", "label", F.round("weight", 6).alias("weight"))
+    rows = B.ranking_rows(MATRICES[9](spark, sf), FE.variant(None, "large"), customer_weights(spark, sf))
+    return rows.select("case_id", "item_id", F.col("pool_pos").cast("long").alias("pool_pos"), "label", F.round("weight", 6).alias("weight"))

@@ -224,6 +224,19 @@ cte("cands", "\nUNION ALL ".join(
     f"SELECT case_id, '{s}' AS source, {i} AS source_ord, cast(rank AS int) AS rank, item_id, score FROM ({_SRC[s]})"
     for i, s in enumerate(SOURCE_ORDER)), SOURCE_NEEDS)
 SOURCE_SQL = _SRC
+# The lists of the offline matrices: last five plays, 200 and 500 long, no audio; ``nvec`` weighs the newest play most.
+_LONG = {
+    "qwen_recent": max_recent("vmeta", 5, 200),
+    "bm25_lastmusic": _SRC["bm25_lastmusic"].replace("rank <= 100", "rank <= 500"),
+    "bm25_convo": _SRC["bm25_convo"].replace("rank <= 100", "rank <= 500"),
+    "qwen_neighbors": neighbours("vmeta", 200),
+    "cfbpr_recent": max_recent("vcollab", 5, 200),
+    "als_session": masked("nvec", "factors", 200),
+    "text_retriever": masked("lastvec", "vcollab", 200),
+}
+TRAINING_SQL = "\nUNION ALL ".join(
+    f"SELECT case_id, '{s}' AS source, {i} AS source_ord, cast(rank AS int) AS rank, item_id, score FROM ({_LONG.get(s, _SRC[s])})"
+    for i, s in enumerate(SOURCE_ORDER) if s != "clap_recent")
 
 
 def rrf(src: str, k: int = 300, weights: dict | None = None, extra: str = "") -> str:
