@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -44,6 +45,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/refrain/{name}-{uuid.uuid4().hex}"
 
 
+def side_by_side(jobs) -> list:
+    """Results of independent calls that run Spark jobs of their own, made at one time; Spark shares out the cores."""
+    jobs = list(jobs)
+    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """What the files under ``paths`` look like from outside (names, sizes, times), as one short text; no file is read."""
     files = spark.read.format("binaryFile").load(paths).select("path", "length", F.unix_micros("modificationTime").alias("time"))

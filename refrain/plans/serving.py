@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from refrain.config import DEFAULTS, Settings
-from refrain.lineage import materialize, scratch_path
+from refrain.lineage import materialize, scratch_path, side_by_side
 from refrain.operators import queries as Q, retrieval as R
 from refrain.operators.features import featurize, item_features, play_popularity
 from refrain.operators.fusion import fused_pool
@@ -63,22 +63,30 @@ def retrieve(corpus: Corpus, settings: Settings = DEFAULTS, stored: dict[str, Da
 
     ``stored`` adds lists computed elsewhere (text and fold retrievers).
     """
-    n = settings.live_topk
-    out: dict[str, DataFrame] = {}
-    if "metadata" in corpus.spaces:
-        out["qwen_recent"] = R.max_recent(recent(corpus, settings.recent_k), corpus.spaces["metadata"], settings.recent_k, n)
-        out["qwen_neighbors"] = R.last_neighbours(last_anchor(corpus), corpus.spaces["metadata"], n)
-    if "collab" in corpus.spaces:
-        out["cfbpr_recent"] = R.max_recent(recent(corpus, settings.recent_k), corpus.spaces["collab"], settings.recent_k, n)
-    if "audio" in corpus.spaces and settings.weights.get("clap_recent", 0) > 0:
-        out["clap_recent"] = R.max_recent(recent(corpus, settings.recent_k), corpus.spaces["audio"], settings.recent_k, n)
-    docs = documents(corpus.items)
-    last = Q.last_item_parts(corpus.cases, corpus.plays, corpus.items)
-    talk = Q.conversation_parts(corpus.cases, corpus.said, corpus.plays, corpus.items)
-    out["bm25_lastmusic"] = R.bm25(R.terms_of(last), docs, settings.bm25_topk).withColumnRenamed("query_id", "case_id")
-    out["bm25_convo"] = R.bm25(R.terms_of(talk), docs, settings.bm25_topk).withColumnRenamed("query_id", "case_id")
+    n, spaces = settings.live_topk, corpus.spaces
     vectors = session_vectors(corpus, settings) if vectors is None else vectors
-    out["als_session"] = R.session_topk(vectors, corpus.factors, corpus.plays, settings.als_topk)
+    docs = documents(corpus.items)
+
+    def near(space):
+        return R.max_recent(recent(corpus, settings.recent_k), spaces[space], settings.recent_k, n)
+
+    def lexical(parts):
+        return R.bm25(R.terms_of(parts), docs, settings.bm25_topk).withColumnRenamed("query_id", "case_id")
+
+    makers = {
+        "bm25_lastmusic": lambda: lexical(Q.last_item_parts(corpus.cases, corpus.plays, corpus.items)),
+        "bm25_convo": lambda: lexical(Q.conversation_parts(corpus.cases, corpus.said, corpus.plays, corpus.items)),
+        "als_session": lambda: R.session_topk(vectors, corpus.factors, corpus.plays, settings.als_topk),
+    }
+    if "metadata" in spaces:
+        makers["qwen_recent"] = lambda: near("metadata")
+        makers["qwen_neighbors"] = lambda: R.last_neighbours(last_anchor(corpus), spaces["metadata"], n)
+    if "collab" in spaces:
+        makers["cfbpr_recent"] = lambda: near("collab")
+    if "audio" in spaces and settings.weights.get("clap_recent", 0) > 0:
+        makers["clap_recent"] = lambda: near("audio")
+    # Each search counts its inputs before it is planned; the sources do so side by side.
+    out = dict(zip(makers, side_by_side(makers.values())))
     out.update(stored or {})
     return R.union_sources(out)
 

@@ -34,6 +34,8 @@ def test_queries_fit_what_the_table_of_models_says(monkeypatch, spark):
         rows = rows.withColumn(c, F.lit(0.0))
     monkeypatch.setattr(J, "MATRICES", {8: lambda *a: rows, 9: lambda *a: rows})
     monkeypatch.setattr(J, "features", lambda *a: rows)
+    monkeypatch.setattr(J, "candidates", lambda *a: rows)
+    monkeypatch.setattr(J, "training_candidates", lambda *a: rows)
     monkeypatch.setattr(T, "plays", lambda *a: spark.createDataFrame([("c", "z")], "case_id string, item_id string"))
     assert J.j2(spark, "x").count() == 2 and J.j8(spark, "x").count() == 1
     assert sorted(asked) == sorted([("base", TR.LISTWISE, 37), ("large", TR.LISTWISE, 37), ("second", TR.PERMUTED, 37)])  # j8 read j2's
