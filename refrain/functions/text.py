@@ -114,10 +114,6 @@ def clean_tags(tags: Column, n: int = 15) -> Column:
 def bigrams(text: Column) -> Column:
     """Adjacent lower-case word pairs of a text."""
     w = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")), " ")
-    return F.when(
-        F.size(w) > 1,
-        F.transform(
-            F.sequence(F.lit(1), F.size(w) - 1),
-            lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    # Two shifted slices meet, so the text is split a fixed number of times, not once a word.
+    n = F.size(w) - 1
+    return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))

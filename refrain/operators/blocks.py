@@ -1,7 +1,7 @@
 """Exact block top-k: bounded query blocks meet bounded item blocks inside tasks.
 
-Each task multiplies one query block with one item block and emits only that pair's best k,
-so neither side is ever whole in one task and no (query, item) pair table is shuffled.
+Each task multiplies a query block with one item block after the other and keeps a running best k, which leaves the task
+once a query block; so neither side is ever whole in one task and no (query, item) pair table is shuffled.
 Item blocks are broadcast when their total size is proven small; otherwise both sides are
 shuffled on (item block, salt).
 """
@@ -20,7 +20,8 @@ QUERY_BLOCK = 512
 ITEM_BLOCK = 4096
 POSTINGS_BLOCK = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SCORE_DIGITS = 6
+#: Scores are compared to so many digits, and ids decide below that, so that engines agree on ties.
+SCORE_DIGITS = 12
 _OUT = "query_id string, item_id string, score double"
 
 # Ship the in-task helpers with the job, so executors need no copy of this package.
@@ -65,19 +66,6 @@ def _select(scores, k):
         yield cand[np.argsort(-row[cand], kind="stable")][:k]
 
 
-def _emit(query_ids, item_ids, scores, k):
-    import numpy as np
-    import pyarrow as pa
-    picks = list(_select(scores, k))
-    sizes = [len(p) for p in picks]
-    rows = np.repeat(np.arange(len(picks)), sizes)
-    cols = np.concatenate(picks) if picks else np.array([], dtype=int)
-    return pa.RecordBatch.from_arrays(
-        [query_ids.take(pa.array(rows)).cast(pa.string()), item_ids.take(pa.array(cols)).cast(pa.string()),
-         pa.array(scores[rows, cols], pa.float64())],
-        names=["query_id", "item_id", "score"])
-
-
 def _mask(scores, masked, query_ids, item_ids):
     import numpy as np
     import pyarrow.compute as pc
@@ -89,22 +77,62 @@ def _mask(scores, masked, query_ids, item_ids):
     scores[np.asarray(q)[hit], np.asarray(i)[hit]] = -np.inf
 
 
+class Running:
+    """The k best of the current query block over the item blocks a task has met; they leave when another block comes."""
+
+    def __init__(self, k: int):
+        self.k, self.block, self.query_ids, self.best = k, None, None, None
+
+    def add(self, block, query_ids, rows, items, scores):
+        """Results of one pair of blocks: row numbers of the queries, item ids and scores."""
+        import numpy as np
+        if block != self.block:
+            yield from self.leave()
+            self.block, self.query_ids, self.best = block, query_ids, (rows, items, scores)
+            return
+        rows, items, scores = (np.concatenate([a, b]) for a, b in zip(self.best, (rows, items, scores)))
+        order = np.lexsort((items, -scores, rows))
+        rows = rows[order]
+        first = np.searchsorted(rows, rows, side="left")
+        kept = np.arange(len(rows)) - first < self.k
+        self.best = rows[kept], items[order][kept], scores[order][kept]
+
+    def leave(self):
+        import pyarrow as pa
+        if self.best is not None and len(self.best[0]):
+            rows, items, scores = self.best
+            yield pa.RecordBatch.from_arrays([self.query_ids.take(pa.array(rows)).cast(pa.string()), pa.array(items.tolist(), pa.string()),
+                                              pa.array(scores, pa.float64())], names=["query_id", "item_id", "score"])
+        self.best = None
+
+
+def _picked(item_ids, scores, k):
+    """Rows, ids and scores of every query's k best."""
+    import numpy as np
+    picks = list(_select(scores, k))
+    rows = np.repeat(np.arange(len(picks)), [len(p) for p in picks])
+    cols = np.concatenate(picks) if picks else np.array([], dtype=int)
+    return rows, np.array(item_ids.to_pylist(), dtype=str)[cols], scores[rows, cols]
+
+
 def _dense_scorer(k: int):
     def run(batches):
         import numpy as np
+        running = Running(k)
 
         def unpack(rows):
             ids = rows.field("id")
             return ids, np.asarray(rows.field("vec").flatten(), dtype=np.float64).reshape(len(ids), -1)
 
         for batch in batches:
-            q_col, i_col, m_col = batch.column("queries"), batch.column("items"), batch.column("masked")
+            q_col, i_col, m_col, blocks = batch.column("queries"), batch.column("items"), batch.column("masked"), batch.column("qb").to_pylist()
             for r in range(batch.num_rows):
                 q_ids, q = unpack(q_col[r].values)
                 i_ids, m = unpack(i_col[r].values)
                 scores = np.round(q @ m.T, SCORE_DIGITS)
                 _mask(scores, m_col[r].values if m_col[r].is_valid else None, q_ids, i_ids)
-                yield _emit(q_ids, i_ids, scores, k)
+                yield from running.add(blocks[r], q_ids, *_picked(i_ids, scores, k))
+        yield from running.leave()
     return run
 
 
@@ -123,8 +151,9 @@ def _sparse_scorer(k: int):
     def run(batches):
         import numpy as np
         import pyarrow.compute as pc
+        running = Running(k)
         for batch in batches:
-            q_col, i_col = batch.column("queries"), batch.column("items")
+            q_col, i_col, blocks = batch.column("queries"), batch.column("items"), batch.column("qb").to_pylist()
             for r in range(batch.num_rows):
                 q, d = q_col[r].values, i_col[r].values
                 terms = pc.unique(q.field("term"))
@@ -140,7 +169,7 @@ def _sparse_scorer(k: int):
                 col = pc.index_in(ids, item_ids).to_numpy(zero_copy_only=False)
                 weight = d.field("w").take(kept).to_numpy(zero_copy_only=False)
                 edge = np.searchsorted(code, np.arange(len(terms) + 1))
-                query_ids = pc.unique(q.field("id"))
+                query_ids = pc.unique(q.field("id"))  # in the order of the block's row, alike for every item block
                 q_row = pc.index_in(q.field("id"), query_ids).to_numpy(zero_copy_only=False)
                 q_term = pc.index_in(q.field("term"), terms).to_numpy(zero_copy_only=False)
                 q_w = q.field("w").to_numpy(zero_copy_only=False)
@@ -157,7 +186,8 @@ def _sparse_scorer(k: int):
                     touched[cell] = True
                 scores, touched = np.round(scores, SCORE_DIGITS).reshape(shape), touched.reshape(shape)
                 scores[~touched] = -np.inf
-                yield _emit(query_ids, item_ids, scores, k)
+                yield from running.add(blocks[r], query_ids, *_picked(item_ids, scores, k))
+        yield from running.leave()
     return run
 
 
@@ -182,7 +212,7 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int, exclude: DataFrame
                    .groupBy("qb").agg(F.collect_list(F.struct(
                        F.col("query_id").alias("id"), F.col("vec").cast("array<double>").alias("vec"))).alias("queries")))
     pairs = _with_exclusions(_meet(query_packs, item_packs, ni, small, tasks), exclude, nq, ni)
-    partial = pairs.select("queries", "items", "masked").mapInArrow(_dense_scorer(k), _OUT)
+    partial = pairs.select("qb", "queries", "items", "masked").mapInArrow(_dense_scorer(k), _OUT)
     return by_score(partial, "query_id", k)
 
 
@@ -203,5 +233,5 @@ def sparse_topk(queries: DataFrame, postings: DataFrame, n_docs: int, n_postings
     query_packs = (queries.withColumn("qb", _block("query_id", nq)).repartition(min(tasks, nq), "qb")
                    .groupBy("qb").agg(F.collect_list(F.struct(F.col("query_id").alias("id"), "term", "w")).alias("queries")))
     pairs = _meet(query_packs, item_packs, ni, small, tasks)
-    partial = pairs.select("queries", "items").mapInArrow(_sparse_scorer(k), _OUT)
+    partial = pairs.select("qb", "queries", "items").mapInArrow(_sparse_scorer(k), _OUT)
     return by_score(partial, "query_id", k)

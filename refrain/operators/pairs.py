@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from refrain.config import DEFAULTS
 from refrain.functions.text import item_text, short_ref, structured_query
+from refrain.lineage import materialize, scratch_path
 from refrain.operators.folds import hash_order, permutation
 from refrain.operators.positions import ordinal_by_sample
 from refrain.operators.sessions import last_texts, stored_order, train_transitions
@@ -82,9 +83,17 @@ def train_pairs(turns: DataFrame, items: DataFrame, excluded: DataFrame | None =
 def capped_sample(pairs: DataFrame, per_session: int = DEFAULTS.pairs_per_session,
                   total: int = DEFAULTS.sampled_pairs, seed: int = DEFAULTS.fold_seed) -> DataFrame:
     """At most ``per_session`` pairs of a session, then ``total`` overall, both in hash order."""
-    key = hash_order(seed, "case_id")
-    few = top_k(pairs.withColumn("_h", key), ["session_id"], [F.col("_h"), F.col("case_id")], per_session, "_r")
-    return few.orderBy("_h", "case_id").limit(total).drop("_h", "_r")
+    # Keys are chosen without their texts, by a hash cut-off that leaves few more than wanted; the texts of those follow.
+    keys = pairs.select("session_id", "case_id", hash_order(seed, "case_id").alias("_h"))
+    keys = materialize(top_k(keys, ["session_id"], [F.col("_h"), F.col("case_id")], per_session, "_r").select("case_id", "_h"),
+                       scratch_path(pairs.sparkSession, "sample-keys"))
+    wanted = min(total, keys.count())
+    share = min(1.0, 1.2 * total / max(1, keys.count()) + 0.001)
+    place = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") / float(1 << 32)
+    while share < 1.0 and keys.where(place < share).count() < wanted:
+        share = min(1.0, 2 * share)
+    few = (keys if share >= 1.0 else keys.where(place < share)).orderBy("_h", "case_id").limit(total)
+    return pairs.join(F.broadcast(few.select("case_id")), "case_id", "left_semi")  # at most ``total`` keys
 
 
 def batches(pairs: DataFrame, seed: int, size: int = DEFAULTS.batch_size, id_col: str = "case_id") -> DataFrame:

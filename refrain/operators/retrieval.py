@@ -183,10 +183,11 @@ def hashed_encoder(texts: DataFrame, corpus: DataFrame, width: int = 256) -> Dat
     weighted = counts.join(F.broadcast(df), "b", "left").withColumn("w", F.col("tf") * idf)  # at most ``width`` rows are broadcast
     packed = weighted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "w")))).alias("f"))
     length = F.sqrt(F.aggregate("f", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    found = F.map_from_entries("f")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at(found, i), F.lit(0.0)))
-    return (packed.withColumn("_n", length).withColumn("_d", dense)
-            .select(*keys, F.when(F.col("_n") > 0, F.transform("_d", lambda x: x / F.col("_n"))).otherwise(F.col("_d")).alias("vec")))
+    # The map is named twice in the next step, so it is made once a row there and not inside the loop over positions.
+    made = packed.select(*keys, length.alias("_n"), F.map_from_entries("f").alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.col("_n"))
+    known = (F.size("_m") > 0) & (F.col("_n") > 0)
+    return made.select(*keys, F.when(known, dense).otherwise(F.array_repeat(F.lit(0.0), width)).alias("vec"))
 
 
 def encode(texts: DataFrame, encoder: Column) -> DataFrame:

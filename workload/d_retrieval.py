@@ -65,7 +65,7 @@ def d4(spark, sf):
     last = R.bm25(R.terms_of(Q.last_item_parts(c.cases, c.plays, c.items)), docs, 100)
     talk = R.bm25(R.terms_of(Q.conversation_parts(c.cases, c.said, c.plays, c.items)), docs, 100)
     both = last.withColumn("source", F.lit("bm25_lastmusic")).unionByName(talk.withColumn("source", F.lit("bm25_convo")))
-    return both.select("source", F.col("query_id").alias("case_id"), "item_id", "score", F.col("rank").cast("long").alias("rank"))
+    return both.select("source", F.col("query_id").alias("case_id"), "item_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def recent(spark, sf, space, k, n):
@@ -94,7 +94,7 @@ def d8(spark, sf):
 
 @query("D9_item_neighbours", q("vcollab", f"""
 SELECT a.item_id AS anchor_id, b.item_id, round({dot('a.vec', 'b.vec')}, 6) AS score,
-  row_number() OVER (PARTITION BY a.item_id ORDER BY round({dot('a.vec', 'b.vec')}, 6) DESC, b.item_id) AS rank
+  row_number() OVER (PARTITION BY a.item_id ORDER BY round({dot('a.vec', 'b.vec')}, 12) DESC, b.item_id) AS rank
 FROM vcollab a CROSS JOIN vcollab b WHERE a.item_id <> b.item_id QUALIFY rank <= 100"""))
 def d9(spark, sf):
     v = T.vectors(spark, sf, "collab")
@@ -145,8 +145,8 @@ BEFORE = """SELECT DISTINCT d.case_id, trim(t.content) AS item_id FROM dev_cases
 
 def text_list_sql(queries: str, items: str, k: int) -> str:
     """``queries`` and ``items``: encoded, as id, dim, x; every item is ranked, also those that share no term."""
-    return f"""SELECT case_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, item_id) AS rank FROM (
-  SELECT c.case_id, i.item_id, round(coalesce(s.x, 0.0), 6) AS score FROM cs c CROSS JOIN items i
+    return f"""SELECT case_id, item_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, item_id) AS rank FROM (
+  SELECT c.case_id, i.item_id, round(coalesce(s.x, 0.0), 12) AS score FROM cs c CROSS JOIN items i
   LEFT JOIN (SELECT a.id AS case_id, b.id AS item_id, sum(a.x * b.x) AS x FROM ({queries}) a JOIN ({items}) b USING (dim) GROUP BY 1, 2) s
     ON s.case_id = c.case_id AND s.item_id = i.item_id
   WHERE NOT EXISTS (SELECT 1 FROM bf WHERE bf.case_id = c.case_id AND bf.item_id = i.item_id))) WHERE rank <= {k}"""
@@ -171,7 +171,7 @@ UNION ALL SELECT 'struct_large', case_id, item_id, score, rank, rank <= 200 FROM
 def d14(spark, sf):
     stored = T.stored_lists(spark, sf)
     table = R.union_sources({k: stored[k] for k in ("struct_base", "struct_large")})
-    return table.select("source", "case_id", "item_id", "score", F.col("rank").cast("long").alias("rank"), (F.col("rank") <= 200).alias("listed"))
+    return table.select("source", "case_id", "item_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), (F.col("rank") <= 200).alias("listed"))
 
 
 def _fold_sql(k: int) -> str:

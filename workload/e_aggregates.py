@@ -17,10 +17,10 @@ from workload.sql import q, rrf
 
 
 def pool_out(df):
-    return df.select("case_id", "item_id", F.round("rrf", 9).alias("rrf"), F.col("pool_pos").cast("long").alias("pool_pos"))
+    return df.select("case_id", "item_id", "rrf", F.col("pool_pos").cast("long").alias("pool_pos"))
 
 
-@query("E1_weighted_rrf", q("pool", "SELECT case_id, item_id, round(rrf, 9) AS rrf, pool_pos FROM pool"))
+@query("E1_weighted_rrf", q("pool", "SELECT case_id, item_id, rrf, pool_pos FROM pool"))
 def e1(spark, sf):
     return pool_out(weighted_rrf(candidates(spark, sf)))
 
@@ -30,8 +30,8 @@ IN9 = "WHERE source IN (" + ", ".join(f"'{s}'" for s in POOL_SOURCES_9) + ")"
 
 
 @query("E2_pool_sources", q("cands", f"""
-SELECT 8 AS n, case_id, item_id, round(rrf, 9) AS rrf, pool_pos FROM ({rrf('cands', extra=IN8)})
-UNION ALL SELECT 9, case_id, item_id, round(rrf, 9), pool_pos FROM ({rrf('cands', extra=IN9)})"""))
+SELECT 8 AS n, case_id, item_id, rrf, pool_pos FROM ({rrf('cands', extra=IN8)})
+UNION ALL SELECT 9, case_id, item_id, rrf, pool_pos FROM ({rrf('cands', extra=IN9)})"""))
 def e2(spark, sf):
     c = candidates(spark, sf)
     part = lambda n, s: pool_out(fused_pool(c, pool_sources=s)).withColumn("n", F.lit(n))

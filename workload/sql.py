@@ -131,13 +131,13 @@ cte("vfold", "SELECT cast(vec_id AS varchar) AS item_id, f AS fold, "
 
 
 def ranked(src: str, k: int, key: str = "case_id") -> str:
-    return (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, item_id) AS rank "
+    return (f"SELECT * REPLACE (round(score, 6) AS score) FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, item_id) AS rank "
             f"FROM ({src})) WHERE rank <= {k}")
 
 
 def max_recent(space: str, last: int, k: int) -> str:
     return ranked(f"""
-SELECT a.case_id, v.item_id, max(round({dot('av.vec', 'v.vec')}, 6)) AS score
+SELECT a.case_id, v.item_id, max(round({dot('av.vec', 'v.vec')}, 12)) AS score
 FROM (SELECT DISTINCT case_id, item_id FROM plays WHERE pos > pos_total - {last}) a
 JOIN {space} av ON av.item_id = a.item_id CROSS JOIN {space} v
 WHERE NOT EXISTS (SELECT 1 FROM plays x WHERE x.case_id = a.case_id AND x.item_id = v.item_id AND x.pos > x.pos_total - {last})
@@ -146,7 +146,7 @@ GROUP BY 1, 2""", k)
 
 def neighbours(space: str, k: int) -> str:
     return ranked(f"""
-SELECT a.case_id, v.item_id, round({dot('av.vec', 'v.vec')}, 6) AS score
+SELECT a.case_id, v.item_id, round({dot('av.vec', 'v.vec')}, 12) AS score
 FROM plays a JOIN {space} av ON av.item_id = a.item_id CROSS JOIN {space} v
 WHERE a.pos = a.pos_total AND v.item_id <> a.item_id""", k)
 
@@ -160,9 +160,9 @@ st AS (SELECT count(*) AS n, sum(len(ws))::double / count(*) AS avgdl FROM d),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
 qd AS MATERIALIZED (SELECT query_id, times, {words('text')} AS ws FROM ({parts}) p), qw AS (SELECT query_id, times, unnest(ws) AS term FROM qd),
 qt AS (SELECT query_id, term, sum(times)::double AS qtf FROM qw GROUP BY ALL),
-sc AS (SELECT query_id, item_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score
+sc AS (SELECT query_id, item_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 12) AS score
   FROM qt JOIN dfs USING (term) JOIN post USING (term) CROSS JOIN st GROUP BY ALL)
-SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM sc) WHERE rank <= {k}"""
+SELECT query_id, item_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM sc) WHERE rank <= {k}"""
 
 
 cte("last_parts", f"""
@@ -192,7 +192,7 @@ cte("svec", session_vecs(False, True), "plays factors")
 
 def masked(queries: str, space: str, k: int, mask: bool = True) -> str:
     anti = "WHERE NOT EXISTS (SELECT 1 FROM plays x WHERE x.case_id = s.case_id AND x.item_id = v.item_id)" if mask else ""
-    return ranked(f"SELECT s.case_id, v.item_id, round({dot('s.vec', 'v.vec')}, 6) AS score FROM {queries} s CROSS JOIN {space} v {anti}", k)
+    return ranked(f"SELECT s.case_id, v.item_id, round({dot('s.vec', 'v.vec')}, 12) AS score FROM {queries} s CROSS JOIN {space} v {anti}", k)
 
 
 cte("lastvec", "SELECT case_id, v.vec FROM plays JOIN vcollab v USING (item_id) WHERE pos = pos_total", "plays vcollab")
@@ -201,7 +201,7 @@ cte("lastvec", "SELECT case_id, v.vec FROM plays JOIN vcollab v USING (item_id)
 def ensemble(k: int, mask: bool) -> str:
     anti = "WHERE NOT EXISTS (SELECT 1 FROM plays x WHERE x.case_id = p.case_id AND x.item_id = v.item_id)" if mask else ""
     return ranked(f"""
-SELECT case_id, item_id, round(sum(s) / 5, 6) AS score FROM (
+SELECT case_id, item_id, round(sum(s) / 5, 12) AS score FROM (
   SELECT p.case_id, v.item_id, v.fold, {dot('a.vec', 'v.vec')} AS s
   FROM (SELECT * FROM plays WHERE pos = pos_total) p JOIN vfold a ON a.item_id = p.item_id JOIN vfold v ON v.fold = a.fold {anti})
 GROUP BY 1, 2""", k)
