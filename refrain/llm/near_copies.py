@@ -1,20 +1,34 @@
-"""Near copies among documents whose fingerprints are connected: those that share enough of their word shingles.
+"""Near copies: documents that share enough of their word shingles.
 
-SimHash components only propose: in a component every pair of documents is compared by the exact Jaccard similarity of
-distinct five-word shingles (as 64-bit hashes), and documents at ``SHARE`` or more link. A component is cut into blocks of
-bounded bytes, every two blocks meet once, and a spanning forest of the links goes on; so links connect what they should
-and nothing else. A text of fewer words is one shingle; texts without words are alike.
+Proposing: a text gets ``PRINTS`` SimHash fingerprints of its distinct words, which differ by how the words' hashes are
+mixed, and covering locality-sensitive hashing links those within ``BITS`` bits, exactly. One edited word in fifty breaks
+a tenth of the five-word shingles, but moves a fingerprint of words by few bits; what one fingerprint misses another finds.
+
+Checking: rows that links connect are compared by the exact Jaccard similarity of their distinct five-word shingles (as
+64-bit hashes), and those at ``SHARE`` or more link. A proposed component is cut into blocks of bounded bytes, every two
+blocks meet once, and a spanning forest of the links goes on; so links connect what they should and nothing else.
+
+Defined results: a null text counts as empty; texts without words are alike; a text of fewer words than a shingle is one
+shingle; of connected rows that with the least doc_id stays (null last, then the first read), so of repeated rows one
+stays; an empty table gives an empty table; columns keep their values and order, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
+from refrain.lineage import side_by_side
+
 from refrain.llm import simhash
 from refrain.llm.common import ship, stage, whole_text
 
 #: Similarity as a fraction, so that comparing is exact.
 WORDS, SHARE = 5, (4, 5)
+#: Fingerprints a text has, and the bits within which two of them link.
+PRINTS, BITS = 4, 4
+BROADCAST_BYTES = 24 << 20
 #: A component takes up to 16 blocks of the small size, so that it spreads over tasks, then as many of the large one.
 SMALL_BLOCK, LARGE_BLOCK, SPREAD = 1 << 18, 4 << 20, 16
 
@@ -27,6 +41,23 @@ def shingles(text: str, words: int = WORDS) -> list[int]:
     return [h - (1 << 64) if h >> 63 else h for h in found]
 
 
+def prints(text: str, n: int = PRINTS) -> list[int]:
+    """``n`` SimHash fingerprints, signed, of the text's distinct words (A-Z lower-cased, split at ASCII white space)."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+    words = set(text.encode().lower().split())
+    if not words:
+        return [0] * n
+    h = np.fromiter((xxh64_intdigest(w, simhash.SEED) for w in words), dtype="<u8", count=len(words))
+    out = [simhash.majority(h)]
+    for k in range(1, n):
+        z = h * np.uint64(2 * k + 1) + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(simhash.majority(z ^ (z >> np.uint64(31))))
+    return out
+
+
 def forest_of(rows, sets, share: tuple[int, int] = SHARE):
     """Spanning forest of the links among ``rows``, whose shingles are ``sets`` (none is empty)."""
     import numpy as np
@@ -70,7 +101,9 @@ def links(sets: DataFrame) -> DataFrame:
     blocks = F.greatest(F.least(F.ceil(total / SMALL_BLOCK), F.lit(SPREAD)), F.ceil(total / LARGE_BLOCK)).cast("int")
     # A component of several blocks has 256 KB or more, so the list of them is short.
     large = sets.groupBy("part_of").agg(blocks.alias("blocks")).where("blocks > 1")
-    packs = (sets.join(F.broadcast(large), "part_of", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    if large.count() * 64 <= BROADCAST_BYTES:
+        large = F.broadcast(large)
+    packs = (sets.join(large, "part_of", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
              .groupBy("part_of", "blocks", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("part"))
              .agg(F.collect_list(F.struct("row", "shingles")).alias("a")))
     alone = packs.where("blocks = 1").select("a", F.lit(None).cast(packs.schema["a"].dataType).alias("b"))
@@ -83,12 +116,36 @@ def links(sets: DataFrame) -> DataFrame:
     return alone.unionByName(met).unionByName(own).mapInArrow(_forests, "u long, v long").distinct()
 
 
-def drop(docs: DataFrame, words: int, radius: int, text: str = "text") -> DataFrame:
+def proposed(rows: DataFrame) -> DataFrame:
+    """``rows(row, text)`` to ``(row, part_of)`` of the rows that some fingerprint connects with others."""
+    @F.arrow_udf("array<long>")
+    def printed(texts):
+        import pyarrow as pa
+        return pa.array([prints(t.as_py()) for t in texts], pa.list_(pa.int64()))
+
+    known = stage(rows.select("row", printed(whole_text("text")).alias("prints")), "near-prints")
+
+    def edges(k: int) -> DataFrame:
+        """Rows of one fingerprint hang on the first of them, and firsts on each other as their fingerprints link."""
+        mine = known.select("row", F.col("prints")[k].alias("fp"))
+        first = stage(mine.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("_n")), "near-firsts")
+        alike = simhash.join_heavy(mine, first.where("_n > 1"), "fp").where("row > first").select(F.col("row").alias("u"), F.col("first").alias("v"))
+        near = simhash.linked(first.select("fp"), BITS)
+        name = lambda c, out: first.select(F.col("fp").alias(c), F.col("first").alias(out))
+        met = near.join(name("u", "a"), "u").join(name("v", "b"), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        return stage(alike.unionByName(met), "near-edges")
+
+    links = reduce(DataFrame.unionByName, side_by_side([lambda k=k: edges(k) for k in range(PRINTS)]))
+    return simhash.components(links.distinct()).select(F.col("u").alias("row"), F.col("root").alias("part_of"))
+
+
+def drop(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``docs`` without near copies: of connected ones that with the least doc_id (null last) stays."""
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    near = simhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), F.col(text).alias("text")), words, radius, distinct=True)
-    near = stage(near.select(F.col("doc_id").alias("row"), F.col("component_id").alias("part_of")), "near-proposed")
-    others = near.where("row <> part_of")
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    others = stage(proposed(rows.select(F.col(row).alias("row"), F.col(text).alias("text"))), "near-proposed").where("row <> part_of")
     firsts = others.select("part_of").distinct().select(F.col("part_of").alias("row"), "part_of")
 
     @F.arrow_udf("array<long>")
@@ -96,15 +153,15 @@ def drop(docs: DataFrame, words: int, radius: int, text: str = "text") -> DataFr
         import pyarrow as pa
         return pa.array([shingles(t.as_py()) for t in texts], pa.list_(pa.int64()))
 
-    found = rows.select(F.col("_row").alias("row"), F.col(text).alias("_text")).join(others.unionByName(firsts), "row")
+    found = rows.select(F.col(row).alias("row"), F.col(text).alias("_text")).join(others.unionByName(firsts), "row")
     sets = stage(found.select("row", "part_of", sets_of(whole_text("_text")).alias("shingles")), "near-shingles")
     placed = simhash.components(links(sets))
     placed = placed.unionByName(placed.select(F.col("root").alias("u"), "root")).distinct()  # a root is named by the others alone
-    ids = rows.select(F.col("_row").alias("u"), "doc_id")
+    ids = rows.select(F.col(row).alias("u"), "doc_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "u"))["u"]
     stay = placed.join(ids, "u").groupBy("root").agg(first.alias("u")).select("u")
     gone = placed.select("u").join(stay, "u", "left_anti")
-    return rows.join(gone, rows["_row"] == gone["u"], "left_anti").drop("_row")
+    return rows.join(gone, rows[row] == gone["u"], "left_anti").drop(row)
 
 
 ship(__name__)

@@ -32,7 +32,9 @@ LETTERS_DIGITS = frozenset(string.ascii_letters + string.digits)
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 CUES = ("iban", "account", "acct", "passport", "ssn", "customer id", "tax id")
 #: What may stand between a cue and its number: marks, and words that a mark follows.
-MARKS, NUMBER_WORDS, GAP = frozenset(" :=#.-"), ("number", "num", "nr", "no"), 12
+MARKS, NUMBER_WORDS = frozenset(" :=#.-"), ("number", "num", "nr", "no")
+#: No identifier has more letters and digits (an IBAN has up to 34); a longer run is none, and is not read further.
+LONGEST_NUMBER = 34
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -125,10 +127,10 @@ def norway(text: str, at: int) -> bool:
 def account_after(text: str, cue: str, at: int) -> tuple[int, int] | None:
     """The identifier behind a cue that ends before ``at``: letters and digits in groups, at least 6 digits."""
     n = len(text)
-    start, marks = at, 0
-    while start < n and marks < GAP and text[start] not in DIGITS:
+    start = at
+    while start < n and text[start] not in DIGITS:  # marks and words end at the next letter, so no stretch is read for two cues
         if text[start] in MARKS:
-            start, marks = start + 1, marks + 1
+            start += 1
             continue
         word = number_word(text, start)
         if cue == "iban" and text[start].isupper() and (not word or norway(text, start)):
@@ -136,20 +138,23 @@ def account_after(text: str, cue: str, at: int) -> tuple[int, int] | None:
         if not word:
             return None
         start += word
-    end = start
+    end, size = start, 0
     follows = LETTERS_DIGITS if cue == "iban" else DIGITS  # what may come after a space or hyphen inside the number
     while end < n and (text[end] in LETTERS_DIGITS or (text[end] in " -" and end + 1 < n and text[end + 1] in follows)):
         if cue == "iban" and text[end].islower():
             break
+        size += text[end] in LETTERS_DIGITS
+        if size > LONGEST_NUMBER:
+            return None
         end += 1
     end -= cue == "iban" and end > start and text[end - 1] in " -"
     value = "".join(c for c in text[start:end] if c in LETTERS_DIGITS)
     if cue == "iban":
-        if not (15 <= len(value) <= 34 and value[:2].isalpha() and value[2:4].isdigit()):
+        if not (15 <= len(value) and value[:2].isalpha() and value[2:4].isdigit()):
             return None
         turned = value[4:] + value[:4]
         return (start, end) if int("".join(str(int(c, 36)) for c in turned)) % 97 == 1 else None
-    return (start, end) if 6 <= sum(c in DIGITS for c in value) <= 20 and len(value) <= 34 else None
+    return (start, end) if 6 <= sum(c in DIGITS for c in value) <= 20 else None
 
 
 def login_after(text: str, at: int) -> tuple[int, int] | None:

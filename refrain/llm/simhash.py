@@ -30,9 +30,8 @@ BROADCAST_BYTES = 24 << 20
 PART = 1 << 16
 
 
-def fingerprint(text: str, words: int = WORDS, distinct: bool = False) -> int:
-    """64-bit SimHash, signed, over XXH64 (seed 42) of the text's shingles, or of the distinct ones; bytes split at
-    ASCII white space."""
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """64-bit SimHash, signed, over XXH64 (seed 42) of the text's shingles, repeats included; bytes split at ASCII white space."""
     import numpy as np
     from xxhash import xxh64_intdigest
     tokens = text.encode().lower().split()
@@ -44,30 +43,32 @@ def fingerprint(text: str, words: int = WORDS, distinct: bool = False) -> int:
     starts = np.append(0, ends[:-1] + 1)
     last = ends[words - 1:] if len(tokens) >= words else ends[-1:]
     spans = zip(starts.tolist(), last.tolist())
-    if distinct:
-        hashes = np.fromiter({xxh64_intdigest(line[a:b], SEED) for a, b in spans}, dtype="<u8")
-        n = len(hashes)
-    else:
-        hashes = np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in spans), dtype="<u8", count=n)
+    return majority(np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in spans), dtype="<u8", count=n))
+
+
+def majority(hashes) -> int:
+    """The bits that over half of 64-bit ``hashes`` have set, as a signed number."""
+    import numpy as np
     set_bits = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, PART):
+    for at in range(0, len(hashes), PART):
         set_bits += np.unpackbits(hashes[at:at + PART].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, text: str = "text", out: str = "fp", distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = WORDS, text: str = "text", out: str = "fp") -> DataFrame:
     """Add ``out``: the whole text's fingerprint as a long."""
     @F.arrow_udf("long")
     def prints(texts):
         import pyarrow as pa
-        return pa.array([fingerprint(t.as_py(), words, distinct) for t in texts], pa.int64())
+        return pa.array([fingerprint(t.as_py(), words) for t in texts], pa.int64())
 
     return docs.withColumn(out, prints(whole_text(text)))
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
     """Signed masks of the covering tables."""
-    vectors = [1 + i % (2 ** (radius + 1) - 1) for i in range(bits)]
+    half = 2 ** radius  # vectors with the top bit set while they last, so that every mask keeps many positions
+    vectors = [half + i % half if bits <= half else 1 + i % (2 * half - 1) for i in range(bits)]
     unsigned = [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
     return [m - (1 << 64) if m >> 63 else m for m in unsigned]
 
@@ -125,9 +126,10 @@ def linked(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFram
              .agg(F.collect_list("fp").alias("fps")))
     alone = packs.where("blocks = 1").select(F.col("fps").alias("a"), F.lit(None).cast("array<long>").alias("b"))
     several = packs.where("blocks > 1")
-    first = several.select("key", "part", F.col("fps").alias("a"))
-    second = several.select("key", F.col("part").alias("part_b"), F.col("fps").alias("b"))
-    crossed = first.join(second, "key").where("part <= part_b").select("a", F.when(F.col("part") < F.col("part_b"), F.col("b")).alias("b"))
+    # A block goes to each of its partners, so a bucket's pairs of blocks spread over as many tasks as it has blocks.
+    first = several.select("key", "part", F.col("fps").alias("a"), F.explode(F.sequence(F.col("part").cast("int"), F.col("blocks") - 1)).alias("part_b"))
+    second = several.select("key", F.col("part").cast("int").alias("part_b"), F.col("fps").alias("b"))
+    crossed = first.join(second, ["key", "part_b"]).select("a", F.when(F.col("part") < F.col("part_b"), F.col("b")).alias("b"))
     forests = alone.unionByName(crossed).mapInArrow(_forests(radius), "u long, v long")
     up = forests.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     return pairs.unionByName(up).distinct()
@@ -155,15 +157,27 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, text: str = "text", block: int = BLOCK,
-                    distinct: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, text: str = "text", block: int = BLOCK) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, fp, component_id)``: the least doc_id each row is connected with."""
-    known = stage(fingerprints(docs.select("doc_id", F.col(text).alias("text")), words, distinct=distinct).select("doc_id", "fp"), "simhash-prints")
-    least = stage(known.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    known = stage(fingerprints(docs.select("doc_id", F.col(text).alias("text")), words).select("doc_id", "fp"), "simhash-prints")
+    least = stage(known.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     roots = components(linked(least.select("fp"), radius, block))
-    placed = least.join(roots, least.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return known.join(placed.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    placed = stage(least.join(roots, least.fp == roots.u, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "simhash-placed")
+    names = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n"))
+    named = join_heavy(placed, names, "root").select("fp", F.col("n").alias("_n"), "component_id")
+    return join_heavy(known, named, "fp").select("doc_id", "fp", "component_id")
+
+
+def join_heavy(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key and in ``_n`` how many rows have it.
+
+    Keys that hold a thousandth of all rows or more, a thousand at most, are looked up where the rows lie; only the
+    others are shuffled.
+    """
+    total = table.agg(F.sum("_n")).first()[0] or 0
+    heavy = table.where(F.col("_n") * 1000 >= total)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(table.drop("_n"), key)
+    return rows.join(F.broadcast(heavy.drop("_n")), key).unionByName(light)
 
 
 ship(__name__)

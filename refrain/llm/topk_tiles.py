@@ -1,7 +1,7 @@
 """Exact top-k inner products by tiles.
 
 Vectors become integers. Candidates are hashed into shards and queries into tiles, both bounded by bytes; a task
-multiplies one tile with one shard and keeps each query's best k of that shard. The lists are merged in a tree: first
+multiplies one tile with one shard, a bounded number of products at a time, and keeps each query's best k of that shard. The lists are merged in a tree: first
 over groups of shards, then over the groups. No pair is shuffled beyond k rows a query and shard.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part; only vectors of the same
@@ -89,16 +89,29 @@ def best_of_tile(q_ids, ids, scores, k: int):
     return rows, cols.ravel()
 
 
-def _once(q_ids, ids, scores, rows, cols):
-    """Two vectors of one query id can name the same candidate: only the better score stays."""
+def best_of_pair(q_ids, q, ids, v, k: int, products_at_once: int = 1 << 22):
+    """``(query id, candidate id, score)`` of each query's k best in a shard, a bounded number of products at a time."""
     import numpy as np
-    best = {}
-    for r, c in zip(rows.tolist(), cols.tolist()):
-        pair = (int(q_ids[r]), int(ids[c]))
-        if pair not in best or scores[best[pair]] < scores[r, c]:
-            best[pair] = (r, c)
-    at = np.array(list(best.values()), dtype=int).reshape(-1, 2)
-    return at[:, 0], at[:, 1]
+    high = max(1, min(len(q_ids), 512))
+    wide = max(1, products_at_once // high)
+    found = []
+    for top in range(0, len(q_ids), high):
+        for left in range(0, len(ids), wide):
+            some, them = slice(top, top + high), slice(left, left + wide)
+            scores = products(q[some], v[them])
+            rows, cols = best_of_tile(q_ids[some], ids[them], scores, k)
+            found.append((q_ids[some][rows], ids[them][cols], scores[rows, cols]))
+    of, to, score = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    # Ids may be repeated over pieces: a candidate counts once, with its best score, then the k best stay.
+    for best_only in (True, False):
+        order = np.lexsort((to, [-int(x) for x in score] if len(score) and score.min() == -(1 << 63) else -score, of))
+        if best_only:
+            order = order[np.lexsort((np.arange(len(order)), to[order], of[order]))]
+            fresh = np.append(True, (of[order][1:] != of[order][:-1]) | (to[order][1:] != to[order][:-1]))[:len(order)]
+            order = order[fresh]
+        of, to, score = of[order], to[order], score[order]
+    kept = np.arange(len(of)) - np.searchsorted(of, of, side="left") < k
+    return of[kept], to[kept], score[kept]
 
 
 def _scorer(k: int):
@@ -110,14 +123,10 @@ def _scorer(k: int):
                 dim = batch.column("dim")[r].as_py()
                 q_ids, q = _integers(batch.column("tile_rows")[r].values, dim)
                 ids, v = _integers(batch.column("shard_rows")[r].values, dim)
-                scores = products(q, v)
-                rows, cols = best_of_tile(q_ids, ids, scores, k)
-                if len(np.unique(q_ids)) < len(q_ids):
-                    rows, cols = _once(q_ids, ids, scores, rows, cols)
+                of, to, score = best_of_pair(q_ids, q, ids, v, k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids[rows], pa.int64()), pa.array(ids[cols], pa.int64()), pa.array(scores[rows, cols], pa.int64()),
-                     pa.array(np.full(len(rows), batch.column("shard")[r].as_py()), pa.int32())],
-                    names=["query_id", "vec_id", "score", "shard"])
+                    [pa.array(of, pa.int64()), pa.array(to, pa.int64()), pa.array(score, pa.int64()),
+                     pa.array(np.full(len(of), batch.column("shard")[r].as_py()), pa.int32())], names=["query_id", "vec_id", "score", "shard"])
     return run
 
 

@@ -6,8 +6,9 @@ than others, smoothed in proportion to the classes so that an unseen n-gram coun
 length one, weighted by logistic regression, and the margin becomes a probability by two numbers fitted on margins
 that cross-fitting gives for texts the weights have not seen.
 
-Ratios count every labelled row, in partial counts that have the size of the table of buckets. The weights are fitted
-in one task on at most ``max_rows`` labelled rows (documented bound: 4,000), the first in the order of a hash of doc_id.
+Ratios count every labelled row, in partial counts whose non-zero buckets Spark adds. The weights are fitted in one task
+on the texts of at most ``max_rows`` labelled doc_ids (documented bound: 4,000), the first in the order of a hash of
+doc_id; these are chosen by their ids alone, of a repeated one the least text counts.
 The model is a few arrays of one number a bucket and so may pass through the driver.
 
 Defined results: a null text counts as empty; an empty text scores as one whose n-grams say nothing; a null label is no
@@ -30,8 +31,9 @@ MAX_ROWS = 4000
 CUT = 0.7
 FOLDS = 2
 BLOCK_FEATURES = 1 << 19
-CHUNK = 4096
-LABELS_BROADCAST_BYTES = 64 << 20
+CHUNK = 1 << 16
+#: A label takes about so many bytes in a broadcast table.
+LABELS_BROADCAST_BYTES, LABEL_BYTES = 64 << 20, 96
 
 
 def buckets(text: str, sizes: tuple = SIZES, bits: int = BITS):
@@ -196,51 +198,48 @@ def _counter(bits: int):
                 k, y = fold.as_py(), toxic.as_py()
                 counts[k, y, buckets(text.as_py(), bits=bits)] += 1
                 rows[k, y] += 1
-        if not rows.any():
-            return
-        for k in range(FOLDS):
-            for y in (0, 1):
-                for c in range(0, 1 << bits, CHUNK):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k], pa.int32()), pa.array([y], pa.int32()), pa.array([c], pa.int32()),
-                         pa.array([counts[k, y, c:c + CHUNK].tobytes()], pa.binary()), pa.array([rows[k, y]], pa.int64())],
-                        names=["fold", "toxic", "chunk", "counts", "n"])
+        # Cells of buckets, then those of the numbers of rows.
+        flat = np.concatenate([counts.ravel(), rows.ravel()])
+        at = np.flatnonzero(flat)
+        for lo in range(0, len(at), CHUNK):
+            part = at[lo:lo + CHUNK]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(flat[part], pa.int64())], names=["cell", "n"])
     return run
 
 
-def _add(key, group):
-    import numpy as np
-    import pyarrow as pa
-    total = sum(np.frombuffer(b.as_py(), dtype=np.int64) for b in group.column("counts"))
-    return pa.table({"fold": pa.array([key[0].as_py()], pa.int32()), "toxic": pa.array([key[1].as_py()], pa.int32()),
-                     "chunk": pa.array([key[2].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary()),
-                     "n": pa.array([sum(group.column("n").to_pylist())], pa.int64())})
-
-
-_COUNTS = "fold int, toxic int, chunk int, counts binary, n long"
-
-
 def labelled(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None) -> DataFrame:
     """``(doc_id, text, toxic, fold)`` of the rows to learn from."""
     marks = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
              .agg(F.max("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)"))
     if learn_from is not None:
         marks = marks.where(learn_from)
-    if labels.count() * 16 <= LABELS_BROADCAST_BYTES:
+    if labels.count() * LABEL_BYTES <= LABELS_BROADCAST_BYTES:
         marks = F.broadcast(marks)
     return docs.select("doc_id", whole_text().alias("text")).join(marks, "doc_id").withColumn("fold", _fold())
 
 
+def _sample(rows: DataFrame, most: int, n_rows: int) -> DataFrame:
+    """``(text, toxic, fold)`` of the first ``most`` doc_ids in hash order, one row a doc_id; texts follow when the ids are chosen."""
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id"), 1) / F.lit(float(1 << 63))
+    ids = rows.select("doc_id", place.alias("_place")).distinct()
+    share = min(1.0, 2.0 * most / max(1, n_rows))
+    while share < 1.0 and ids.where(F.col("_place") < share).count() < most:  # a cut-off that leaves few more than wanted
+        share = min(1.0, 2 * share)
+    few = (ids if share >= 1.0 else ids.where(F.col("_place") < share)).orderBy("_place", "doc_id").limit(most).select("doc_id")
+    # Copies of one id merge before they are shuffled.
+    return (rows.join(F.broadcast(few), "doc_id", "left_semi").groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text"))
+            .orderBy("doc_id").select("text", "toxic", "fold"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, max_rows: int = MAX_ROWS, bits: int = BITS):
     """Train on ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``; ``learn_from`` filters by doc_id."""
     import numpy as np
     rows = labelled(docs, labels, learn_from)
-    counts, n = np.zeros((FOLDS, 2, 1 << bits)), np.zeros((FOLDS, 2))
-    summed = (rows.select("text", "toxic", "fold").mapInArrow(_counter(bits), _COUNTS)
-              .groupBy("fold", "toxic", "chunk").applyInArrow(_add, _COUNTS))
-    for r in summed.collect():  # one row a chunk of buckets, fold and class: a fixed number
-        counts[r["fold"], r["toxic"], r["chunk"]:r["chunk"] + CHUNK] = np.frombuffer(r["counts"], dtype=np.int64)
-        n[r["fold"], r["toxic"]] = r["n"]
+    parts = rows.select("text", "toxic", "fold").mapInArrow(_counter(bits), "cell long, n long")
+    summed = parts.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # a number a fold, class and bucket at most
+    flat = np.zeros(FOLDS * 2 * (1 << bits) + FOLDS * 2)
+    flat[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    counts, n = flat[:-FOLDS * 2].reshape(FOLDS, 2, 1 << bits), flat[-FOLDS * 2:].reshape(FOLDS, 2)
     if not n[:, 1].sum() or not n[:, 0].sum():
         return Constant(float(n[:, 1].sum() > 0))
     sent = rows.sparkSession.sparkContext.broadcast((counts, n))
@@ -272,8 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, ma
         yield pa.RecordBatch.from_arrays([pa.array([model.weighted.tobytes()], pa.binary()), pa.array([model.squares.tobytes()], pa.binary()),
                                           pa.array([[b, slope, offset]], pa.list_(pa.float64()))], names=["weighted", "squares", "numbers"])
 
-    sample = rows.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "text").limit(max_rows).select("text", "toxic", "fold")
-    got = sample.coalesce(1).mapInArrow(train, "weighted binary, squares binary, numbers array<double>").first()
+    got = _sample(rows, max_rows, int(n.sum())).coalesce(1).mapInArrow(train, "weighted binary, squares binary, numbers array<double>").first()
     return Model(np.frombuffer(got["weighted"]), np.frombuffer(got["squares"]), *got["numbers"], bits)
 
 

@@ -1,8 +1,9 @@
-"""Near copies are checked on their texts."""
+"""Near copies are proposed by fingerprints and checked on their texts."""
 
 import random
 
 import brute
+import numpy as np
 
 from refrain.llm import near_copies, simhash
 
@@ -13,8 +14,7 @@ def shingles(t):
 
 
 def similar(a, b):
-    x, y = shingles(a), shingles(b)
-    return 5 * len(x & y) >= 4 * len(x | y)
+    return 5 * len(a & b) >= 4 * len(a | b)
 
 
 def edited(rng, words, n):
@@ -24,21 +24,53 @@ def edited(rng, words, n):
     return " ".join(out)
 
 
-def test_linked_prints_alone_are_no_near_copies(monkeypatch, spark):
+def test_near_copies_are_found_and_others_stay(monkeypatch, spark):
     rng = random.Random(5)
-    bases = [[rng.choice("abcdefgh") + str(rng.randrange(300)) for _ in range(300)] for _ in range(4)]
-    texts = [edited(rng, b, n) for b in bases for n in (0, 1, 3, 5, 8, 10, 14, 18, 22, 30)] + ["", "one", "one two"]
-    fps = [brute.fingerprint(t, 2, distinct=True) for t in texts]
-    falsely = sum((fps[i] ^ fps[j]).bit_count() <= 6 and not similar(texts[i], texts[j]) for i in range(len(texts)) for j in range(i))
-    assert falsely
-    coarse = brute.components(set(fps), lambda a, b: (a ^ b).bit_count() <= 6)
+    bases = [[rng.choice("abcdefgh") + str(rng.randrange(300)) for _ in range(rng.randrange(60, 400))] for _ in range(60)]
+    texts = [edited(rng, b, n) for b in bases for n in (0, len(b) // 60, len(b) // 45, len(b) // 15, len(b) // 8)] + ["", "one", "one two", None, "", "One"]
+    sets = [shingles(t or "") for t in texts]
     keys = list(range(len(texts)))
-    roots = brute.components(set(keys), lambda a, b: coarse[fps[a]] == coarse[fps[b]] and similar(texts[a], texts[b]))
-    least = {}
-    for k in keys:
-        least[roots[k]] = min(k, least.get(roots[k], k))
-    want = {k for k in keys if least[roots[k]] == k}
+    roots = brute.components(set(keys), lambda a, b: similar(sets[a], sets[b]))
+    pairs = [(a, b) for a in keys for b in keys[:a] if similar(sets[a], sets[b])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for small in (near_copies.SMALL_BLOCK, 6000):
         monkeypatch.setattr(near_copies, "SMALL_BLOCK", small)
-        assert {r["doc_id"] for r in near_copies.drop(docs, 2, 6).collect()} == want
+        kept = {r["doc_id"] for r in near_copies.drop(docs).collect()}
+        assert len(pairs) > 100 and sum(a in kept and b in kept for a, b in pairs) <= 0.05 * len(pairs)  # recall of links: 0.95 and more
+        least = {}
+        for k in keys:
+            least[roots[k]] = min(k, least.get(roots[k], k))
+        assert all(k in kept for k in keys if least[roots[k]] == k)  # what has no lesser copy stays
+
+
+def test_columns_of_any_name_and_repeated_rows(spark):
+    rows = [(1, "a b c d e f", "x", 5, 0.5), (1, "a b c d e f", "x", 5, 0.5), (None, "a b c d e f", "y", 6, 0.1), (2, "other words stand here", "z", 7, 0.2), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, u int, row double")
+    got = near_copies.drop(docs)
+    assert got.columns == docs.columns and sorted(map(repr, got.collect())) == sorted(map(repr, [docs.collect()[i] for i in (0, 3, 4)]))
+    import corpus_pipeline
+    got = corpus_pipeline.drop_copies(spark, docs, "")
+    assert got.columns == docs.columns and sorted(repr(tuple(r)) for r in got.collect()) == sorted(map(repr, [rows[0], rows[3], rows[4]]))
+    assert near_copies.drop(docs.limit(0)).count() == corpus_pipeline.drop_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_masks_are_wide_and_cover():
+    rng = random.Random(4)
+    for radius in (3, 4, 5, 6):
+        masks = [m % (1 << 64) for m in simhash.masks(radius)]
+        assert min(m.bit_count() for m in masks) >= 28
+        for _ in range(500):
+            diff = sum(1 << b for b in rng.sample(range(64), radius))
+            assert any(diff & m == 0 for m in masks)
+
+
+def test_a_bucket_of_many_blocks_keeps_its_links(spark):
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(0, 1 << 62))
+    far = {base ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 6)), replace=False)) for _ in range(300)} | {base}
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in far]
+    edges = simhash.linked(spark.createDataFrame(signed, "fp long"), block=16)
+    got = {r["u"] % (1 << 64): r["root"] for r in simhash.components(edges).collect()}
+    want = brute.components(far, lambda a, b: (a ^ b).bit_count() <= 4)
+    groups = lambda f: sorted(sorted(x for x in far if f(x) == g) for g in {f(x) for x in far})
+    assert groups(lambda x: got.get(x, x - (1 << 64) if x >> 63 else x)) == groups(lambda x: want[x])
