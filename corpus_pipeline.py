@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from refrain.llm import bpe, exact_dedup, mixing, near_copies, toxicity
 from refrain.llm.common import stage, table
 
-NEAR_WORDS, NEAR_BITS = 2, 6
 #: A classifier and connected components are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
@@ -22,12 +21,6 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text")
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Documents whose id ``kept`` holds; a null id is one too."""
-    ids = kept.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays under the cut, learned from all labels of documents."""
     model = toxicity.fit(_rows(docs), table(spark, sf_dir, "labels"))
@@ -35,18 +28,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lower-cased), the document with the largest id."""
-    return _only(docs, exact_dedup.deduplicate(_rows(docs)).where("kept"))
+    """Of equal texts (A-Z lower-cased), the document with the largest id; of repeated rows the last one read.
+
+    A null id counts as the smallest, a null text as empty; other columns keep their values, whatever their names.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "copies-rows")
+    kept = exact_dedup.deduplicate(rows.select(F.struct("doc_id", F.col(row).alias("row")).alias("doc_id"), "text")).where("kept")
+    return rows.join(kept.select(F.col("doc_id")["row"].alias("_kept")), rows[row] == F.col("_kept"), "left_semi").drop(row)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near copies connect, the one with the smallest id.
+    """Of documents that near copies connect (0.8 of their five-word shingles), the one with the smallest id.
 
-    Near copies share 0.8 of their five-word shingles, which is checked exactly. SimHash proposes where to look. One
-    edited word breaks five such shingles, but two of two words; so fingerprints of distinct word pairs stay far closer
-    than those of longer shingles. Components of six bits hold over four fifths of the pairs at 0.8.
+    SimHash fingerprints of words propose, shingles are compared exactly; nulls, repeated rows and ties as in near_copies.
     """
-    return near_copies.drop(docs, NEAR_WORDS, NEAR_BITS)
+    return near_copies.drop(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
