@@ -31,7 +31,7 @@ MAX_ROWS = 4000
 CUT = 0.7
 FOLDS = 2
 BLOCK_FEATURES = 1 << 19
-CHUNK = 1 << 16
+CHUNK, PACK = 1 << 16, 1 << 14
 #: A label takes about so many bytes in a broadcast table.
 LABELS_BROADCAST_BYTES, LABEL_BYTES = 64 << 20, 96
 
@@ -207,6 +207,14 @@ def _counter(bits: int):
     return run
 
 
+def _packed(key, group):
+    import numpy as np
+    import pyarrow as pa
+    out = np.zeros(PACK, dtype=np.int64)
+    out[group.column("cell").to_numpy() % PACK] = group.column("n").to_numpy()
+    return pa.table({"pack": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
+
+
 def labelled(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None) -> DataFrame:
     """``(doc_id, text, toxic, fold)`` of the rows to learn from."""
     marks = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
@@ -236,9 +244,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, ma
     import numpy as np
     rows = labelled(docs, labels, learn_from)
     parts = rows.select("text", "toxic", "fold").mapInArrow(_counter(bits), "cell long, n long")
-    summed = parts.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # a number a fold, class and bucket at most
-    flat = np.zeros(FOLDS * 2 * (1 << bits) + FOLDS * 2)
-    flat[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    summed = parts.groupBy("cell").agg(F.sum("n").alias("n"))
+    packed = summed.groupBy(F.floor(F.col("cell") / PACK).cast("int").alias("pack")).applyInArrow(_packed, "pack int, counts binary")
+    flat = np.zeros(-(-(FOLDS * 2 * (1 << bits) + FOLDS * 2) // PACK) * PACK)
+    for r in packed.collect():  # one row of numbers a stretch of cells: a fixed number
+        flat[r["pack"] * PACK:(r["pack"] + 1) * PACK] = np.frombuffer(r["counts"], dtype=np.int64)
+    flat = flat[:FOLDS * 2 * (1 << bits) + FOLDS * 2]
     counts, n = flat[:-FOLDS * 2].reshape(FOLDS, 2, 1 << bits), flat[-FOLDS * 2:].reshape(FOLDS, 2)
     if not n[:, 1].sum() or not n[:, 0].sum():
         return Constant(float(n[:, 1].sum() > 0))
