@@ -15,11 +15,8 @@ stays; an empty table gives an empty table; columns keep their values and order,
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
-from refrain.lineage import side_by_side
 
 from refrain.llm import simhash
 from refrain.llm.common import ship, stage, whole_text
@@ -123,20 +120,16 @@ def proposed(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
         return pa.array([prints(t.as_py()) for t in texts], pa.list_(pa.int64()))
 
-    known = stage(rows.select("row", printed(whole_text("text")).alias("prints")), "near-prints")
-
-    def edges(k: int) -> DataFrame:
-        """Rows of one fingerprint hang on the first of them, and firsts on each other as their fingerprints link."""
-        mine = known.select("row", F.col("prints")[k].alias("fp"))
-        first = stage(mine.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("_n")), "near-firsts")
-        alike = simhash.join_heavy(mine, first.where("_n > 1"), "fp").where("row > first").select(F.col("row").alias("u"), F.col("first").alias("v"))
-        near = simhash.linked(first.select("fp"), BITS)
-        name = lambda c, out: first.select(F.col("fp").alias(c), F.col("first").alias(out))
-        met = near.join(name("u", "a"), "u").join(name("v", "b"), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        return stage(alike.unionByName(met), "near-edges")
-
-    links = reduce(DataFrame.unionByName, side_by_side([lambda k=k: edges(k) for k in range(PRINTS)]))
-    return simhash.components(links.distinct()).select(F.col("u").alias("row"), F.col("root").alias("part_of"))
+    known = stage(rows.select("row", F.posexplode(printed(whole_text("text"))).alias("space", "fp")), "near-prints")
+    # Rows of one fingerprint hang on the first of them, and firsts on each other as their fingerprints link.
+    first = stage(known.groupBy("space", "fp").agg(F.min("row").alias("first"), F.count("*").alias("_n")), "near-firsts")
+    alike = simhash.join_heavy(known, first.where("_n > 1"), "space", "fp").where("row > first").select(F.col("row").alias("u"), F.col("first").alias("v"))
+    near = simhash.linked(first.select("space", "fp"), BITS)
+    # A value that stands in two spaces proposes a pair too many at worst; the texts decide.
+    name = lambda c, out: first.select(F.col("fp").alias(c), F.col("first").alias(out))
+    met = near.join(name("u", "a"), "u").join(name("v", "b"), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    links = alike.unionByName(met.where("u > v")).distinct()
+    return simhash.components(links).select(F.col("u").alias("row"), F.col("root").alias("part_of"))
 
 
 def drop(docs: DataFrame, text: str = "text") -> DataFrame:

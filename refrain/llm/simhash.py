@@ -109,9 +109,13 @@ def _forests(radius: int):
 
 
 def linked(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """``(u, v)``: edges that connect the distinct fingerprints ``fps(fp)`` as their links do; u > v."""
+    """``(u, v)``: edges that connect the distinct fingerprints ``fps(fp)`` as their links do; u > v.
+
+    With a column ``space`` only fingerprints of one space meet.
+    """
+    space = [F.col("space")] if "space" in fps.columns else []
     # One number stands for a table's bucket; should two buckets share it, their fingerprints are compared all the same.
-    tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks(radius))])
+    tables = F.array(*[F.xxhash64(F.lit(t), *space, F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks(radius))])
     keyed = fps.select("fp", F.explode(tables).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
     sizes = stage(sizes, "simhash-buckets")
@@ -168,16 +172,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, t
     return join_heavy(known, named, "fp").select("doc_id", "fp", "component_id")
 
 
-def join_heavy(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined with ``table``, which has one row a key and in ``_n`` how many rows have it.
+def join_heavy(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each value of ``keys`` and in ``_n`` how many rows have it.
 
     Keys that hold a thousandth of all rows or more, a thousand at most, are looked up where the rows lie; only the
     others are shuffled.
     """
     total = table.agg(F.sum("_n")).first()[0] or 0
     heavy = table.where(F.col("_n") * 1000 >= total)
-    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(table.drop("_n"), key)
-    return rows.join(F.broadcast(heavy.drop("_n")), key).unionByName(light)
+    light = rows.join(F.broadcast(heavy.select(*keys)), list(keys), "left_anti").join(table.drop("_n"), list(keys))
+    return rows.join(F.broadcast(heavy.drop("_n")), list(keys)).unionByName(light)
 
 
 ship(__name__)
