@@ -4,8 +4,12 @@ Every source's documents, shuffled by a hash, lie end to end on a line of words,
 schedule has one slot a block: slot ``i`` sits at the fractional part of ``i`` times the golden ratio, and the source
 whose stretch of the cumulative weights holds that point gets the slot. Slots are ranked per source, and the ``r``-th
 slot of a source takes its ``r``-th block; past the end of the line a source begins again. So any run of slots holds
-each source close to its weight. A source's surplus slots are cut at its target and the few it lacks are appended,
-so it gets its target to within one word.
+each source close to its weight. A source leaves the schedule when it has its target; the schedule runs on for those that
+lack a few slots, at most to twice the number of blocks (no gap between ``2n`` golden-ratio points is as wide as ``1/n``).
+So every block's slot is a point of the sequence, and every source gets its target to within one word.
+
+The slots are the mix's order: a document's first slot and number of pieces are returned, and whole documents come in the
+order of their slots, one partition a stretch of the schedule.
 
 Targets share ``budget`` x all words by weight; a target stops at ``max_epochs`` x its source's words and what is above
 is shared again by weight.
@@ -29,6 +33,8 @@ from refrain.operators.positions import running_sums
 
 #: The golden ratio's fractional part, and the weights that repeat over the ordered sources.
 GOLDEN = (math.sqrt(5) - 1) / 2
+#: Points are whole multiples of 2**-52, so they are exact for any slot below 2**36.
+POINT_BITS, HALF_BITS = 52, 26
 WEIGHTS = (3, 1, 2)
 BUDGET, MAX_EPOCHS = 1.5, 2
 #: Block size: about this many slots, within these bounds of words.
@@ -81,27 +87,32 @@ def _sources(spark, targets: list[dict], block: int) -> DataFrame:
     return spark.createDataFrame(rows, "k int, source string, source_size long, target double, words long, slots long, lo double, hi double")
 
 
+def _row_hash(text: str = "text") -> Column:
+    """Rows that agree in id, source and text are alike to the mix."""
+    return F.xxhash64(whole_text(text), F.col("source").cast("string"))
+
+
 def _small(df: DataFrame, n_sources: int) -> DataFrame:
     return F.broadcast(df) if n_sources <= BROADCAST_SOURCES else df
 
 
+def point(slot: Column) -> Column:
+    """Fractional part of ``slot`` times the golden ratio, in whole numbers until the end."""
+    high, low = divmod(round(GOLDEN * (1 << POINT_BITS)), 1 << HALF_BITS)
+    top = (slot * F.lit(high)).bitwiseAND(F.lit((1 << HALF_BITS) - 1)) * F.lit(1 << HALF_BITS)
+    return (top + slot * F.lit(low)).bitwiseAND(F.lit((1 << POINT_BITS) - 1)) / F.lit(float(1 << POINT_BITS))
+
+
 def schedule(sources: DataFrame, n_sources: int, n_slots: int, cells: int = 4096) -> DataFrame:
     """Slots with their source and their rank in it: ``(slot, k, block)``, every rank below the source's slots once."""
-    spark = sources.sparkSession
-    point = F.pmod(F.col("slot") * F.lit(GOLDEN), F.lit(1.0))
-    slots = spark.range(n_slots).select(F.col("id").alias("slot")).withColumn("at", point).withColumn(
+    spark, length = sources.sparkSession, 2 * n_slots + 2
+    slots = spark.range(length).select(F.col("id").alias("slot")).withColumn("at", point(F.col("slot"))).withColumn(
         "cell", F.least(F.floor(F.col("at") * cells), F.lit(cells - 1)))
     stretches = sources.where("slots > 0").select("k", "slots", "lo", "hi").withColumn(
         "cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))))
     dealt = slots.join(_small(stretches, n_sources), "cell").where("at >= lo and at < hi").select("slot", "k", "slots")
-    ranked = running_sums(dealt, ["k"], ["slot"], F.floor(F.col("slot") / max(1, math.ceil(4 * math.sqrt(n_slots)))), {"rank": F.lit(1)})
-    kept = ranked.withColumn("block", F.col("rank") - 1).where("block < slots").select("slot", "k", "block")
-    got = kept.groupBy("k").agg(F.count("*").alias("got"))
-    lacking = (sources.where("slots > 0").join(got, "k", "left").withColumn("got", F.coalesce("got", F.lit(0)))
-               .where("got < slots")
-               .select("k", F.explode(F.sequence(F.col("got"), F.col("slots") - 1)).alias("block"))
-               .select((F.lit(n_slots) + F.col("block")).cast("long").alias("slot"), "k", "block"))
-    return kept.unionByName(lacking)
+    ranked = running_sums(dealt, ["k"], ["slot"], F.floor(F.col("slot") / max(1, math.ceil(4 * math.sqrt(length)))), {"rank": F.lit(1)})
+    return ranked.withColumn("block", F.col("rank") - 1).where("block < slots").select("slot", "k", "block")
 
 
 def block_words(total_words: float) -> int:
@@ -125,11 +136,11 @@ def mix(docs: DataFrame, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, w
     """Mix ``docs(doc_id, source, text)``.
 
     Returns the documents' places ``(doc_id, k, size, source_size, target, words, start, nth)`` and the mixed stream:
-    ``(slot, doc_id, k, nth, epoch, first_word, n_words)``, in which slot after slot a document gives a run of words.
+    ``(slot, doc_id, k, nth, epoch, first_word, n_words, _text_hash)``, in which slot after slot a document gives a run of words.
     """
     spark = docs.sparkSession
     sized = stage(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), n_words(text).alias("size"),
-                              F.xxhash64(whole_text(text)).alias("_text_hash")), "mix-sizes")
+                              _row_hash(text).alias("_text_hash")), "mix-sizes")
     targets = source_targets(sized, budget, max_epochs, weights)
     words = sum(round(t["target"]) for t in targets)
     block = block_words(words)
@@ -150,23 +161,39 @@ def _stream(places: DataFrame, slots: DataFrame, block: int, max_epochs: int) ->
     first = F.greatest(F.col("at"), F.col("block") * block)
     last = F.least(F.col("to"), (F.col("block") + 1) * block)
     return (pieces.join(slots, ["k", "block"])
-            .select("slot", "doc_id", "k", "nth", "epoch", (first - F.col("at")).alias("first_word"), (last - first).alias("n_words")))
+            .select("slot", "doc_id", "k", "nth", "epoch", (first - F.col("at")).alias("first_word"), (last - first).alias("n_words"), "_text_hash"))
 
 
 def taken_words(places: DataFrame, stream: DataFrame) -> DataFrame:
-    """Words the mix takes of each document, repeats counted: ``places`` with ``taken``."""
-    taken = stream.groupBy("k", "nth").agg(F.sum("n_words").alias("taken"))
-    return places.join(taken, ["k", "nth"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    """``places`` with the words the mix takes of each document, repeats counted, and where: ``taken, first_slot, n_pieces``.
+
+    A document that isn't taken has 0 words, 0 pieces and no first slot.
+    """
+    taken = stream.groupBy("k", "nth").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_pieces"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return places.join(taken, ["k", "nth"], "left").select(*places.columns, count("taken"), "first_slot", count("n_pieces"))
 
 
 def whole_copies(docs: DataFrame, **settings) -> DataFrame:
     """The mix in whole documents: each comes as often as the words taken of it, to the nearest whole copy.
 
-    At most one document a source is taken in part. A document without words gives the mix nothing and doesn't come.
+    Copies come in the order of the schedule: one stands at the first slot of its round over the source's line. At most
+    one document a source is taken in part. A document without words gives the mix nothing and doesn't come. Rows
+    alike in id, source and text share one count.
     """
     places, stream = mix(docs, **settings)
-    times = (taken_words(places, stream).groupBy(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_th"))
-             .agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_times")))
-    mixed = docs.join(times, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text()) == F.col("_th")))
-    return (mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.floor(F.col("_times") + 0.5).cast("int"))))
-            .select(*[docs[c] for c in docs.columns]))
+    alike = ["doc_id", "_text_hash"]
+    rounds = stream.groupBy(*alike, "epoch").agg(F.sum("n_words").alias("words"), F.min("slot").alias("slot"))
+    taken = rounds.groupBy(*alike).agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("epoch", "slot"))).alias("at"))
+    sizes = places.where("size > 0").groupBy(*alike).agg(F.sum("size").alias("size"))
+    same = F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t._text_hash") == F.col("s._text_hash"))
+    copies = F.floor(F.col("words") / F.col("size") + 0.5).cast("int")
+    times = stage(taken.alias("t").join(sizes.alias("s"), same)
+                  .select(F.col("t.doc_id").alias("_id"), F.col("t._text_hash").alias("_th"), F.slice("at.slot", F.lit(1), copies).alias("_slots")), "mix-copies")
+    end = times.agg(F.max(F.array_max("_slots")).alias("end")).first()["end"] or 0
+    mixed = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]) & (_row_hash() == times["_th"]))
+    # The list of copies is exploded behind the join, so a text is carried there once.
+    placed = mixed.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.explode(times["_slots"]).alias("slot"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    ordered = placed.repartitionById(parts, F.floor(F.col("slot") * parts / F.lit(end + 1)).cast("int")).sortWithinPartitions("slot")
+    return ordered.select("row.*")

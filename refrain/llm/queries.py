@@ -28,7 +28,7 @@ def op1_exact_dedup(spark, sf_dir):
 def op2_mix_sources(spark, sf_dir):
     """Words that the mix takes of each document."""
     places, stream = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixing.taken_words(places, stream).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken_words(places, stream).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_pieces")
 
 
 def op3_personal_data(spark, sf_dir):

@@ -87,6 +87,19 @@ def test_directory_splits_overfull_buckets(spark):
     assert all(r["bucket"] % (1 << 64) == (r["key"] % (1 << 64)) >> (64 - r["depth"]) << (64 - r["depth"]) for r in rows)
 
 
+def test_rows_find_their_key_by_the_directory_only(spark, docs):
+    log = spark.range(3000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("key"))
+    buckets, index = exact_dedup.build_index(log, capacity=100)
+    book, depth = exact_dedup.slots(buckets)
+    assert exact_dedup.look_up(log, index, (book, depth)).count() == 3000
+    swapped = book.withColumn("slot", F.col("slot").bitwiseXOR(F.lit(1)))  # neighbouring addresses change places
+    found = exact_dedup.look_up(log, index, (swapped, depth)).count()
+    alike = book.alias("a").join(swapped.alias("b"), "slot").where("a.bucket = b.bucket").count()
+    assert found < 3000 and (found > 0) == (alike > 0)
+    with pytest.raises(Exception, match="no bucket for key"):
+        exact_dedup.look_up(log, index, (book.where("slot > 0"), depth)).count()
+
+
 def test_mixing(monkeypatch, spark, docs, rows):
     got = run(monkeypatch, spark, "op2_mix_sources", documents=docs)
     again = run(monkeypatch, spark, "op2_mix_sources", documents=docs.repartition(3))
@@ -112,6 +125,41 @@ def test_schedule_stays_close_to_the_weights(spark, docs):
         assert abs(half[k] - n / 2) <= 6
 
 
+def test_every_slot_is_a_golden_ratio_point_of_its_source(spark, docs, monkeypatch):
+    places, stream = mixing.mix(docs)
+    where = {r["slot"]: r["at"] for r in spark.range(20000).select(F.col("id").alias("slot"), mixing.point(F.col("id")).alias("at")).collect()}
+    assert all(abs(at - slot * mixing.GOLDEN % 1) < 1e-9 for slot, at in where.items())
+    stretch = defaultdict(list)
+    for r in stream.select("slot", "k").distinct().collect():
+        stretch[r["k"]].append(where[r["slot"]])
+    ends = sorted((min(v), max(v)) for v in stretch.values())
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    first = mixing.taken_words(places, stream).where("taken > 0").select("doc_id", "first_slot").collect()
+    monkeypatch.setattr(mixing, "point", lambda slot: F.pmod(slot * F.lit(math.sqrt(2) - 1), F.lit(1.0)))
+    assert sorted(map(str, first)) != sorted(map(str, mixing.taken_words(*mixing.mix(docs)).where("taken > 0").select("doc_id", "first_slot").collect()))
+
+
+def test_twice_as_many_points_leave_no_gap_as_wide_as_a_slot():
+    for n in [1, 2, 3, 5, 33, 100, 986, 987, 988, 4180, 10945, 10946]:
+        at = sorted(i * mixing.GOLDEN % 1 for i in range(2 * n + 2)) + [1.0]
+        assert max(b - a for a, b in zip(at, at[1:])) < 1 / n
+
+
+def test_whole_copies_come_in_the_order_of_their_slots(spark, docs):
+    once = docs.groupBy("doc_id").count().where("count = 1 and doc_id is not null").select("doc_id")
+    clash = docs.join(once, "doc_id").withColumn("_slots", F.lit(1)).withColumn("slot", F.lit(2)).withColumn("_id", F.lit(3))
+    places, stream = mixing.mix(clash)
+    rounds = {(r["doc_id"], r["epoch"]): r["slot"] for r in stream.groupBy("doc_id", "epoch").agg(F.min("slot").alias("slot")).collect()}
+    copies = {r["doc_id"]: int(r["taken"] / r["size"] + 0.5) for r in mixing.taken_words(places, stream).where("size > 0").collect()}
+    want = sorted((slot, d) for (d, e), slot in rounds.items() if e < copies[d])
+    mixed = mixing.whole_copies(clash)
+    assert mixed.columns == clash.columns
+    at = {d: sorted(s for s, x in want if x == d) for d in copies}
+    got = [r["doc_id"] for r in mixed.select("doc_id", F.monotonically_increasing_id().alias("at")).collect()]
+    assert Counter(got) == Counter(d for _, d in want)
+    assert [at[d].pop(0) for d in got] == [s for s, _ in want]
+
+
 def test_personal_data(monkeypatch, spark, docs, rows):
     got = run(monkeypatch, spark, "op3_personal_data", documents=docs)
     want = Counter((r[0], brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in brute.personal(r[1])))) for r in rows)
