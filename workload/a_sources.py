@@ -128,10 +128,13 @@ SELECT url || '#' || page_id AS name, CASE WHEN NOT starts_with(url, 'https') TH
 def a10(spark, sf):
     """Pages as files: plain-http ones were never fetched, query-string ones have a stale manifest entry."""
     pages = T.table(spark, sf, "pages").select(F.concat_ws("#", "url", "page_id").alias("name"), "url", "html")
-    sha = F.sha2(F.col("html").cast("binary"), 256)
-    manifest = pages.select("name", F.when(F.contains("url", F.lit("?")), F.lit("stale")).otherwise(sha).alias("sha256"))
-    files = pages.where(F.startswith("url", F.lit("https"))).select("name", sha.alias("sha"))
-    return artifacts.compare_hashes(files, manifest)
+    folder = scratch_path(spark, "pages")
+    artifacts.write_files(pages.where(F.startswith("url", F.lit("https"))).select("name", F.col("html").alias("content")), folder)
+    fresh = artifacts.bytes_digest(F.coalesce("html", F.lit("")))
+    manifest = pages.select(artifacts.file_name(F.col("name")).alias("name"), F.col("name").alias("page"),
+                            F.when(F.contains("url", F.lit("?")), F.lit("stale")).otherwise(fresh).alias("sha256"))
+    status = artifacts.audit(spark, folder, manifest, artifacts.CHUNK_BYTES)
+    return manifest.select("name", "page").join(status, "name").select(F.col("page").alias("name"), "status")
 
 
 POP = "SELECT item_id, count(*) AS plays FROM plays GROUP BY 1"
