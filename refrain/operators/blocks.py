@@ -174,7 +174,7 @@ def _sparse_scorer(k: int):
                 q_term = pc.index_in(q.field("term"), terms).to_numpy(zero_copy_only=False)
                 q_w = q.field("w").to_numpy(zero_copy_only=False)
                 shape = (len(query_ids), len(item_ids))
-                scores, touched = np.zeros(shape[0] * shape[1]), np.zeros(shape[0] * shape[1], dtype=bool)
+                scores, touched = np.zeros(shape[0] * shape[1], dtype=np.int64), np.zeros(shape[0] * shape[1], dtype=bool)
                 # Each (query, term) meets the term's postings; so many products at a time.
                 sizes = edge[q_term + 1] - edge[q_term]
                 ends = np.cumsum(sizes)
@@ -182,9 +182,9 @@ def _sparse_scorer(k: int):
                     n = sizes[lo:hi]
                     at = np.arange(n.sum()) + np.repeat(edge[q_term[lo:hi]] - (np.cumsum(n) - n), n)
                     cell = np.repeat(q_row[lo:hi].astype(np.int64) * shape[1], n) + col[at]
-                    np.add.at(scores, cell, np.repeat(q_w[lo:hi], n) * weight[at])
+                    np.add.at(scores, cell, np.rint(np.repeat(q_w[lo:hi], n) * weight[at] * 10.0 ** SCORE_DIGITS).astype(np.int64))
                     touched[cell] = True
-                scores, touched = np.round(scores, SCORE_DIGITS).reshape(shape), touched.reshape(shape)
+                scores, touched = (scores / 10.0 ** SCORE_DIGITS).reshape(shape), touched.reshape(shape)
                 scores[~touched] = -np.inf
                 yield from running.add(blocks[r], query_ids, *_picked(item_ids, scores, k))
         yield from running.leave()
@@ -222,7 +222,8 @@ def sparse_topk(queries: DataFrame, postings: DataFrame, n_docs: int, n_postings
     """Exact top-k by sparse dot product over terms.
 
     ``queries(query_id, term, w)`` and ``postings(item_id, term, w)``. Postings are blocked by
-    document, so a term found in every document spreads over all blocks.
+    document, so a term found in every document spreads over all blocks. Terms add up in whole trillionths, which come
+    out alike in any order, so documents with the same terms tie; a score must stay under nine million.
     """
     ni = max(1, math.ceil(n_postings / postings_block), math.ceil(n_docs / max_docs))
     nq = max(1, math.ceil(queries.select("query_id").distinct().count() / query_block))

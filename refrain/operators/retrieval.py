@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -9,6 +11,7 @@ from pyspark.ml.stat import Summarizer
 from refrain.config import DEFAULTS, SOURCE_ORDER
 from refrain.functions.numeric import l2_normalise, norm
 from refrain.functions.text import words
+from refrain.lineage import materialize, scratch_path, stored
 from refrain.operators.blocks import dense_topk, sparse_topk
 from refrain.operators.topk import by_score
 
@@ -28,24 +31,49 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def corpus_stats(docs: DataFrame) -> tuple[int, int]:
-    """Number of documents and of tokens: two numbers, the only thing the driver sees."""
-    r = docs.agg(F.count("*").alias("n"), F.sum(F.size(words(F.col("text")))).alias("t")).first()
-    return r["n"], r["t"] or 0
+@dataclass
+class LexicalIndex:
+    """A written index: ``postings(item_id, term, tf, dl)``, ``terms(term, df)``, and two numbers, documents and tokens."""
+
+    postings: DataFrame
+    terms: DataFrame
+    n: int
+    total: int
+
 
+def build_lexical_index(docs: DataFrame, name: str | None = None) -> LexicalIndex:
+    """Tokenise ``docs(item_id, text)`` once and write what every search reads.
+
+    With a ``name``, which must tell one corpus from another, the tables stay in the shared folder and later calls read them there.
+    """
+    spark = docs.sparkSession
 
-def bm25(query_terms: DataFrame, docs: DataFrame, k: int, k1: float = DEFAULTS.bm25_k1,
+    def keep(part, build):
+        return stored(spark, f"lexical-{name}-{part}", build) if name else materialize(build(), scratch_path(spark, f"lexical-{part}"))
+
+    postings = keep("postings", lambda: lexical_index(docs))
+    terms = keep("terms", lambda: document_frequency(postings))
+    # A document without words has no posting but counts; its text is not read for that.
+    size = keep("size", lambda: spark.createDataFrame(
+        [(docs.count(), postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0])], "n long, total long")).first()
+    return LexicalIndex(postings, terms, size["n"], size["total"])
+
+
+def bm25(query_terms: DataFrame, docs: DataFrame | LexicalIndex, k: int, k1: float = DEFAULTS.bm25_k1,
          b: float = DEFAULTS.bm25_b, **blocks) -> DataFrame:
-    """Top-k documents per query; ``query_terms(query_id, term, qtf)`` carries repetitions."""
-    n, total = corpus_stats(docs)
+    """Top-k documents per query; ``query_terms(query_id, term, qtf)`` carries repetitions.
+
+    ``docs`` is a written index, or ``(item_id, text)``, which is indexed first.
+    """
+    index = docs if isinstance(docs, LexicalIndex) else build_lexical_index(docs)
+    n, total, postings = index.n, index.total, index.postings
     avgdl = total / n if n else 1.0
-    postings = lexical_index(docs)
     tf, dl = F.col("tf"), F.col("dl")
     weighted = postings.select("item_id", "term", (
         tf / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / F.lit(avgdl or 1.0)))).alias("w"))
     df = F.col("df")
     idf = F.log(F.lit(1.0) + (F.lit(float(n)) - df + 0.5) / (df + 0.5))
-    queries = (query_terms.join(document_frequency(postings), "term")
+    queries = (query_terms.join(index.terms, "term")
                .select("query_id", "term", (F.col("qtf") * idf).alias("w")))
     return sparse_topk(queries, weighted, n, total, k, **blocks)
 
@@ -168,6 +196,26 @@ def term_bucket(term: Column, width: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(width)).cast("int")
 
 
+def _buckets(width: int) -> Column:
+    return F.transform(words(F.col("text")), lambda t: term_bucket(t, width))
+
+
+def _bucket_counts(texts: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``(keys, b, tf)``; a text without terms has one row with neither."""
+    return texts.select(*keys, F.explode_outer(_buckets(width)).alias("b")).groupBy(*keys, "b").agg(F.count("b").alias("tf"))
+
+
+def _unit_rows(weighted: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``(keys, b, w)`` to vectors of unit length."""
+    packed = weighted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "w")))).alias("f"))
+    length = F.sqrt(F.aggregate("f", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    # The map is named twice in the next step, so it is made once a row there and not inside the loop over positions.
+    made = packed.select(*keys, length.alias("_n"), F.map_from_entries("f").alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.col("_n"))
+    known = (F.size("_m") > 0) & (F.col("_n") > 0)
+    return made.select(*keys, F.when(known, dense).otherwise(F.array_repeat(F.lit(0.0), width)).alias("vec"))
+
+
 def hashed_encoder(texts: DataFrame, corpus: DataFrame, width: int = 256) -> DataFrame:
     """Default encoder: terms hashed to ``width`` buckets, TF-IDF with unit length, fitted on ``corpus(text)``.
 
@@ -175,19 +223,40 @@ def hashed_encoder(texts: DataFrame, corpus: DataFrame, width: int = 256) -> Dat
     so any engine can repeat it.
     """
     keys = [c for c in texts.columns if c != "text"]
-    buckets = lambda df: F.transform(words(F.col("text")), lambda t: term_bucket(t, width))
     n = corpus.count()
-    df = corpus.select(F.explode(F.array_distinct(buckets(corpus))).alias("b")).groupBy("b").agg(F.count("*").alias("df"))
+    df = corpus.select(F.explode(F.array_distinct(_buckets(width))).alias("b")).groupBy("b").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(float(n)) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0))
-    counts = texts.select(*keys, F.explode_outer(buckets(texts)).alias("b")).groupBy(*keys, "b").agg(F.count("b").alias("tf"))
+    counts = _bucket_counts(texts, keys, width)
     weighted = counts.join(F.broadcast(df), "b", "left").withColumn("w", F.col("tf") * idf)  # at most ``width`` rows are broadcast
-    packed = weighted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "w")))).alias("f"))
-    length = F.sqrt(F.aggregate("f", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    # The map is named twice in the next step, so it is made once a row there and not inside the loop over positions.
-    made = packed.select(*keys, length.alias("_n"), F.map_from_entries("f").alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.col("_n"))
-    known = (F.size("_m") > 0) & (F.col("_n") > 0)
-    return made.select(*keys, F.when(known, dense).otherwise(F.array_repeat(F.lit(0.0), width)).alias("vec"))
+    return _unit_rows(weighted, keys, width)
+
+
+def held_out_weights(corpus: DataFrame, n_folds: int, width: int = 256) -> DataFrame:
+    """``(fold, b, idf)`` for every fold and bucket: what the encoder fitted without that fold of ``corpus(fold, text)`` weighs.
+
+    Texts are tokenised once; a fold's frequencies are the total less its own, and ``n_folds`` x ``width`` rows come out.
+    """
+    spark = corpus.sparkSession
+    seen = corpus.select("fold", F.explode(F.concat(F.array(F.lit(-1)), F.array_distinct(_buckets(width)))).alias("b"))  # -1 counts texts
+    counts = seen.groupBy("fold", "b").agg(F.count("*").alias("c"))
+    grid = spark.range(n_folds).select(F.col("id").cast("int").alias("fold"), F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("b"))
+    total = counts.groupBy("b").agg(F.sum("c").alias("t"))
+    out = (grid.join(F.broadcast(counts), ["fold", "b"], "left").join(F.broadcast(total), "b", "left")  # bounded by folds x width
+           .select("fold", "b", (F.coalesce("t", F.lit(0)) - F.coalesce("c", F.lit(0))).alias("df")))
+    texts = out.where("b = -1").select("fold", F.col("df").alias("n"))
+    idf = F.log((F.col("n").cast("double") + 1.0) / (F.col("df") + 1.0))
+    return out.where("b >= 0").join(F.broadcast(texts), "fold").select("fold", "b", idf.alias("idf"))
+
+
+def held_out_encoder(texts: DataFrame, weights: DataFrame, width: int = 256) -> DataFrame:
+    """``hashed_encoder`` by the weights of each row's ``fold``: ``texts(..., fold, text)``, or every fold for texts without one."""
+    keys = [c for c in texts.columns if c != "text"]
+    counts = _bucket_counts(texts, keys, width)
+    if "fold" not in keys:
+        folds = weights.select("fold").distinct().agg(F.array_sort(F.collect_list("fold"))).first()[0]
+        counts, keys = counts.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds]))), [*keys, "fold"]
+    weighted = counts.join(F.broadcast(weights), ["fold", "b"], "left").withColumn("w", F.col("tf") * F.col("idf"))
+    return _unit_rows(weighted, keys, width)
 
 
 def encode(texts: DataFrame, encoder: Column) -> DataFrame:

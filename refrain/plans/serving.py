@@ -23,6 +23,7 @@ class Corpus:
     ``items``: catalog. ``spaces``: vectors per space (``metadata``, ``collab``, ``audio``).
     ``factors``: collaborative item factors. ``cases(case_id, user_query)``,
     ``plays(case_id, item_id, pos, pos_total)``, ``said(case_id, content, is_last)``.
+    ``lexical``: written index of the catalog's texts; without one a run writes its own.
     """
 
     items: DataFrame
@@ -31,6 +32,7 @@ class Corpus:
     cases: DataFrame
     plays: DataFrame
     said: DataFrame
+    lexical: R.LexicalIndex | None = None
 
 
 def recent(corpus: Corpus, k: int) -> DataFrame:
@@ -65,7 +67,7 @@ def retrieve(corpus: Corpus, settings: Settings = DEFAULTS, stored: dict[str, Da
     """
     n, spaces = settings.live_topk, corpus.spaces
     vectors = session_vectors(corpus, settings) if vectors is None else vectors
-    docs = documents(corpus.items)
+    docs = corpus.lexical or R.build_lexical_index(documents(corpus.items))
 
     def near(space):
         return R.max_recent(recent(corpus, settings.recent_k), spaces[space], settings.recent_k, n)

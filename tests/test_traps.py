@@ -1,5 +1,7 @@
 """Hand-worked fixtures, one per trap, and brute-force checks of the block operators."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -176,6 +178,48 @@ def test_file_audit(spark, tmp_path):
     assert got == {"a.bin": "OK", "b.bin": "BAD", "c.bin": "MISSING"}
 
 
+def test_file_audit_in_chunks(spark, tmp_path):
+    import hashlib
+    contents = {"empty": b"", "short": b"abc", "even": b"x" * 40, "long": bytes(range(256)) * 5}
+    folder = str(tmp_path / "out files")
+    artifacts.write_files(spark.createDataFrame(list(contents.items()), "name string, content binary"), folder)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    tree = lambda b: sha(b) if len(b) <= 20 else sha("".join(sha(b[i:i + 20]) for i in range(0, len(b), 20)).encode())
+    want = {sha(n.encode()): tree(b) for n, b in contents.items()}
+    got = {r["name"]: r.sha for r in artifacts.hash_files_in_chunks(spark, folder, chunk_bytes=20, block=7).collect()}
+    assert got == {n: d for n, d in want.items() if n != sha(b"empty")}  # Spark lists no empty files
+    rows = spark.createDataFrame(list(contents.items()), "name string, content binary")
+    assert {sha(r["name"].encode()): r.d for r in rows.select("name", artifacts.bytes_digest(F.col("content"), 20).alias("d")).collect()} == want
+    manifest = spark.createDataFrame([(k, v) for k, v in want.items()] + [("gone", "0")], "name string, sha256 string")
+    assert {r.status for r in artifacts.audit(spark, folder, manifest.where("name <> 'gone'"), 20).collect()} == {"OK"}
+    assert [r.status for r in artifacts.audit(spark, folder, manifest.where("name = 'gone'"), 20).collect()] == ["MISSING"]
+
+
+def test_fold_encoders_equal_encoders_fitted_without_the_fold(spark):
+    texts = [("a", 0, "red blue blue sea"), ("b", 1, "red sand"), ("c", 2, "blue sky sky"), ("d", 0, ""), ("e", 1, "new words here")]
+    docs = spark.createDataFrame(texts, "case_id string, fold int, text string")
+    weights = R.held_out_weights(docs.select("fold", "text"), 3, width=32)
+    assert weights.count() == 96
+    own = {r.case_id: r.vec for r in R.held_out_encoder(docs, weights, width=32).collect()}
+    all_folds = {(r.case_id, r.fold): r.vec for r in R.held_out_encoder(docs.drop("fold"), weights, width=32).collect()}
+    for k in range(3):
+        fitted = {r.case_id: r.vec for r in R.hashed_encoder(docs.drop("fold"), docs.where(F.col("fold") != k).select("text"), width=32).collect()}
+        for case, fold, _ in texts:
+            assert all_folds[case, k] == pytest.approx(fitted[case], abs=1e-12)
+            assert fold != k or own[case] == pytest.approx(fitted[case], abs=1e-12)
+
+
+def test_lexical_index_is_written_once(spark):
+    docs = spark.createDataFrame([("a", "red red sea"), ("b", "blue sea"), ("c", None), ("d", "...")], "item_id string, text string")
+    name = f"test-{uuid.uuid4().hex}"
+    first = R.build_lexical_index(docs, name)
+    again = R.build_lexical_index(docs.withColumn("text", F.raise_error(F.lit("read again")).cast("string")), name)
+    asked = spark.createDataFrame([("q", "red", 1), ("q", "sea", 2)], "query_id string, term string, qtf int")
+    assert (first.n, first.total) == (again.n, again.total) == (4, 5)
+    rows = lambda index: sorted(map(tuple, R.bm25(asked, index, 3).collect()))
+    assert rows(first) == rows(again) == rows(docs)
+
+
 def test_history_json_matches_json_dumps(spark):
     import json
     chat = [("user", 'say "hi"\n'), ("assistant", "çà \\ ok")]

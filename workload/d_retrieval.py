@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from refrain.config import DEFAULTS
-
+from refrain.lineage import cut
 from refrain.operators import folds as FO, pairs as P, queries as Q, retrieval as R, sessions as S
 from refrain.operators.topk import by_score
 from refrain.plans import serving
@@ -43,7 +45,7 @@ def d1(spark, sf):
 
 @query("D2_bm25_retrieve", bm25(ASKED, DOCS, 10))
 def d2(spark, sf):
-    return out(R.bm25(R.terms_of(asked(spark, sf)), documents(spark, sf), 10), "query_id")
+    return out(R.bm25(R.terms_of(asked(spark, sf)), T.document_index(spark, sf), 10), "query_id")
 
 
 TALK = "SELECT conv_id || ':' || turn AS query_id, text, 1 AS times FROM conversations WHERE role = 'user'"
@@ -53,7 +55,7 @@ TALK = "SELECT conv_id || ':' || turn AS query_id, text, 1 AS times FROM convers
 def d3(spark, sf):
     talk = T.table(spark, sf, "conversations").where("role = 'user'").select(
         F.concat_ws(":", "conv_id", "turn").alias("query_id"), "text", F.lit(1).alias("times"))
-    return out(R.bm25(R.terms_of(talk), documents(spark, sf), DEFAULTS.train_bm25_topk), "query_id")
+    return out(R.bm25(R.terms_of(talk), T.document_index(spark, sf), DEFAULTS.train_bm25_topk), "query_id")
 
 
 @query("D4_src_bm25", q(SOURCE_NEEDS, f"""
@@ -61,7 +63,7 @@ SELECT 'bm25_lastmusic' AS source, case_id, item_id, score, rank FROM ({SOURCE_S
 UNION ALL SELECT 'bm25_convo', case_id, item_id, score, rank FROM ({SOURCE_SQL['bm25_convo']})"""))
 def d4(spark, sf):
     c = T.corpus(spark, sf)
-    docs = serving.documents(c.items)
+    docs = T.catalog_index(spark, sf)
     last = R.bm25(R.terms_of(Q.last_item_parts(c.cases, c.plays, c.items)), docs, 100)
     talk = R.bm25(R.terms_of(Q.conversation_parts(c.cases, c.said, c.plays, c.items)), docs, 100)
     both = last.withColumn("source", F.lit("bm25_lastmusic")).unionByName(talk.withColumn("source", F.lit("bm25_convo")))
@@ -186,12 +188,14 @@ WITH qt AS ({QUERY_TEXTS}), cs AS (SELECT case_id, fold FROM qt JOIN sess_folds
 {' UNION ALL '.join(_fold_sql(k) for k in range(5))}"""))
 def d15(spark, sf):
     """Each fold's encoder is fitted on the texts of the other folds and lists only the cases it has not seen."""
-    cases = FO.with_folds(text_queries(spark, sf))
-    items, played, lists = catalog_texts(spark, sf), played_before(spark, sf), None
+    cases = cut(FO.with_folds(text_queries(spark, sf)))
+    played, lists = cut(played_before(spark, sf)), None
+    weights = cut(R.held_out_weights(cases.select("fold", "text"), DEFAULTS.folds))
+    asked = cut(R.held_out_encoder(cases.select("case_id", F.col("fold").cast("int").alias("fold"), "text"), weights))
+    items = cut(R.held_out_encoder(catalog_texts(spark, sf), weights))
     for k in range(DEFAULTS.folds):
-        seen = FO.held_in(cases, k).select("text")
-        asked = R.hashed_encoder(FO.held_out(cases, k).select("case_id", "text"), seen)
-        part = R.masked_topk(asked, R.hashed_encoder(items, seen), DEFAULTS.train_topk, played).withColumn("fold", F.lit(k))
+        of = lambda df: df.where(F.col("fold") == k).drop("fold")
+        part = R.masked_topk(of(asked), of(items), DEFAULTS.train_topk, played).withColumn("fold", F.lit(k))
         lists = part if lists is None else lists.unionByName(part)
     return lists.select("fold", "case_id", "item_id", F.col("rank").cast("long").alias("rank"))
 
@@ -227,10 +231,10 @@ def d20(spark, sf):
 
 @T.staged("candidates")
 def candidates(spark, sf):
-    return serving.retrieve(T.corpus(spark, sf), stored=T.stored_lists(spark, sf))
+    return serving.retrieve(replace(T.corpus(spark, sf), lexical=T.catalog_index(spark, sf)), stored=T.stored_lists(spark, sf))
 
 
 @query("D21_all_sources", q("cands", "SELECT case_id, source, source_ord, rank, item_id, score FROM cands"))
 def d21(spark, sf):
-    return serving.retrieve(T.corpus(spark, sf), stored=T.stored_lists(spark, sf)).select(
+    return serving.retrieve(replace(T.corpus(spark, sf), lexical=T.catalog_index(spark, sf)), stored=T.stored_lists(spark, sf)).select(
         "case_id", "source", "source_ord", "rank", "item_id", F.round("score", 6).alias("score"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -174,7 +175,7 @@ def training_candidates(spark, sf):
     c = T.corpus(spark, sf)
     lists = T.stored_lists(spark, sf)
     lists["text_retriever"] = lists["text_retriever"].where(F.col("rank") <= TRAINING.train_topk)
-    return serving.retrieve(c, TRAINING, lists, training_vectors(c))
+    return serving.retrieve(replace(c, lexical=T.catalog_index(spark, sf)), TRAINING, lists, training_vectors(c))
 
 
 def training_vectors(c):

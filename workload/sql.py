@@ -160,7 +160,7 @@ st AS (SELECT count(*) AS n, sum(len(ws))::double / count(*) AS avgdl FROM d),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
 qd AS MATERIALIZED (SELECT query_id, times, {words('text')} AS ws FROM ({parts}) p), qw AS (SELECT query_id, times, unnest(ws) AS term FROM qd),
 qt AS (SELECT query_id, term, sum(times)::double AS qtf FROM qw GROUP BY ALL),
-sc AS (SELECT query_id, item_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 12) AS score
+sc AS (SELECT query_id, item_id, sum(round(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) * 1e12)::BIGINT) / 1e12 AS score
   FROM qt JOIN dfs USING (term) JOIN post USING (term) CROSS JOIN st GROUP BY ALL)
 SELECT query_id, item_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM sc) WHERE rank <= {k}"""
 

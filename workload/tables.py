@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from refrain.functions.numeric import l2_normalise
-from refrain.lineage import materialize, scratch_path
+from refrain.lineage import fingerprint, materialize, scratch_path
 from refrain.operators import retrieval as R, sessions as S
 from refrain.operators.positions import positions, running_sums
 from refrain.operators.topk import top_k
-from refrain.plans.serving import Corpus
+from refrain.plans.serving import Corpus, documents as catalog_documents
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -160,6 +160,16 @@ def corpus(spark, sf) -> Corpus:
                   cases=c, plays=plays(spark, sf), said=said(spark, sf).join(c.select("case_id"), "case_id", "left_semi"))
 
 
+def catalog_index(spark, sf):
+    """The lexical index of the catalog's texts, written once for these files and read by every search over them."""
+    return R.build_lexical_index(catalog_documents(items(spark, sf)), f"catalog-{fingerprint(spark, [f'{sf}/part.parquet'])}")
+
+
+def document_index(spark, sf):
+    docs = table(spark, sf, "documents").select(text_id("doc_id").alias("item_id"), "text")
+    return R.build_lexical_index(docs, f"documents-{fingerprint(spark, [f'{sf}/documents.parquet'])}")
+
+
 def stored_lists(spark, sf) -> dict[str, DataFrame]:
     """Lists of the text and fold retrievers, with the last play standing in for the encoded query."""
     p = plays(spark, sf)
