@@ -5,8 +5,11 @@ mixed, and covering locality-sensitive hashing links those within ``BITS`` bits,
 a tenth of the five-word shingles, but moves a fingerprint of words by few bits; what one fingerprint misses another finds.
 
 Checking: rows that links connect are compared by the exact Jaccard similarity of their distinct five-word shingles (as
-64-bit hashes), and those at ``SHARE`` or more link. A proposed component is cut into blocks of bounded bytes, every two
-blocks meet once, and a spanning forest of the links goes on; so links connect what they should and nothing else.
+64-bit hashes), and those at ``SHARE`` or more link. A proposed component is cut into blocks of bounded bytes. Each block
+meets a few of the component's rows, its pivots, and itself; the heaviest group that this connects is settled. Only the
+other rows then meet each other and that group, block by block, so a large group of copies costs about its size, and no
+link is lost. Spanning forests of the links go on, so links connect what they should and nothing else. Quadratic is only
+what no pivot reached.
 
 Defined results: a null text counts as empty; texts without words are alike; a text of fewer words than a shingle is one
 shingle; of connected rows that with the least doc_id stays (null last, then the first read), so of repeated rows one
@@ -17,9 +20,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-
 from refrain.llm import simhash
 from refrain.llm.common import ship, stage, whole_text
+from refrain.operators.topk import top_k
 
 #: Similarity as a fraction, so that comparing is exact.
 WORDS, SHARE = 5, (4, 5)
@@ -28,6 +31,8 @@ PRINTS, BITS = 4, 4
 BROADCAST_BYTES = 24 << 20
 #: A component takes up to 16 blocks of the small size, so that it spreads over tasks, then as many of the large one.
 SMALL_BLOCK, LARGE_BLOCK, SPREAD = 1 << 18, 4 << 20, 16
+#: Rows of a large component that all its rows are compared with first.
+PIVOTS = 4
 
 
 def shingles(text: str, words: int = WORDS) -> list[int]:
@@ -62,13 +67,18 @@ def forest_of(rows, sets, share: tuple[int, int] = SHARE):
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     at = np.concatenate([[0], np.cumsum(size)])
     mine, left, links = np.zeros(codes.max() + 1, dtype=bool), np.arange(len(rows)), []
+    # What is still to be reached is held apart and cut down as it halves, so a group around one text costs little more than its size.
+    pool, others, start = left, codes, at[:-1]
     while len(left):
         reached, left = [left[0]], left[1:]
         while reached and len(left):
+            if 2 * len(left) <= len(pool):
+                pool, others = left, np.concatenate([codes[at[x]:at[x + 1]] for x in left])
+                start = np.concatenate([[0], np.cumsum(size[left])[:-1]])
             x = reached.pop()
             own = codes[at[x]:at[x + 1]]
             mine[own] = True
-            both = np.add.reduceat(mine[codes], at[:-1], dtype=np.int64)[left]
+            both = np.add.reduceat(mine[others], start, dtype=np.int64)[np.searchsorted(pool, left)]
             mine[own] = False
             near = share[1] * both >= share[0] * (size[x] + size[left] - both)
             links += [(rows[x], rows[y]) for y in left[near]]
@@ -92,25 +102,64 @@ def _forests(batches):
             yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in links], pa.int64()), pa.array([min(x) for x in links], pa.int64())], names=["u", "v"])
 
 
+def _blocks(octets):
+    """How many blocks that many bytes of shingles are cut into."""
+    return F.greatest(F.least(F.ceil(octets / SMALL_BLOCK), F.lit(SPREAD)), F.ceil(octets / LARGE_BLOCK)).cast("int")
+
+
+def _packs(sets: DataFrame, out: str, *keys: str) -> DataFrame:
+    return sets.groupBy(*keys).agg(F.collect_list(F.struct("row", "shingles")).alias(out))
+
+
+def _linked(packs: DataFrame) -> DataFrame:
+    """``packs(a, b)`` to the edges, u > v, of each pack's forest; b may be null."""
+    return packs.mapInArrow(_forests, "u long, v long").where("u > v").distinct()
+
+
 def links(sets: DataFrame) -> DataFrame:
-    """``sets(row, part_of, shingles)`` to edges ``(u, v)`` that connect the rows of a ``part_of`` as their links do."""
-    total = F.sum(F.size("shingles") * 8 + 64)
-    blocks = F.greatest(F.least(F.ceil(total / SMALL_BLOCK), F.lit(SPREAD)), F.ceil(total / LARGE_BLOCK)).cast("int")
+    """``sets(row, part_of, shingles)`` to edges ``(u, v)``, u > v, that connect the rows of a ``part_of`` as their links do."""
+    octets = F.size("shingles") * 8 + 64
     # A component of several blocks has 256 KB or more, so the list of them is short.
-    large = sets.groupBy("part_of").agg(blocks.alias("blocks")).where("blocks > 1")
-    if large.count() * 64 <= BROADCAST_BYTES:
-        large = F.broadcast(large)
-    packs = (sets.join(large, "part_of", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-             .groupBy("part_of", "blocks", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("part"))
-             .agg(F.collect_list(F.struct("row", "shingles")).alias("a")))
-    alone = packs.where("blocks = 1").select("a", F.lit(None).cast(packs.schema["a"].dataType).alias("b"))
-    several = packs.where("blocks > 1")
-    first = several.select("part_of", "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part_b"), "part").where("part < part_b")
-    second = several.select("part_of", F.col("part").alias("part_b"), F.col("a").alias("b"))
-    # A part may be the only one that rows fell to, so each is compared by itself too.
-    met = first.join(second, ["part_of", "part_b"]).select("a", "b")
-    own = several.select("a", F.lit(None).cast(packs.schema["a"].dataType).alias("b"))
-    return alone.unionByName(met).unionByName(own).mapInArrow(_forests, "u long, v long").distinct()
+    large = stage(sets.groupBy("part_of").agg(_blocks(F.sum(octets)).alias("blocks")).where("blocks > 1"), "near-large")
+    known = large.count()
+    if not known:
+        return _linked(_packs(sets, "a", "part_of").select("a", F.lit(None).cast("array<struct<row:long,shingles:array<long>>>").alias("b")))
+    short = F.broadcast if known * 64 <= BROADCAST_BYTES else (lambda df: df)
+    alone = _packs(sets.join(short(large), "part_of", "left_anti"), "a", "part_of")
+    none = F.lit(None).cast(alone.schema["a"].dataType)
+    several = sets.join(short(large), "part_of").withColumn("part", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    own = stage(_linked(_beside_pivots(several, octets)), "near-own")
+    cells = stage(several.join(_main_rows(several.select("part_of", "row", octets.alias("octets")), own, short), "row", "left"), "near-cells")
+    rest = cells.where("main is null")
+    cut = rest.groupBy("part_of").agg(_blocks(F.sum(octets)).alias("n"))
+    packs = _packs(rest.join(short(cut), "part_of").withColumn("q", F.pmod(F.xxhash64("row"), F.col("n")).cast("int")), "a", "part_of", "blocks", "n", "q")
+    # The main group is connected already: only what it lacks meets it, and itself.
+    mains = packs.select("part_of", "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part")).join(
+        _packs(cells.where("main"), "b", "part_of", "part"), ["part_of", "part"]).select("a", "b")
+    first = packs.select("part_of", "a", "q", F.explode(F.sequence("q", F.col("n") - 1)).alias("p"))
+    second = packs.select("part_of", F.col("q").alias("p"), F.col("a").alias("b"))
+    # A block without rows has no pack, and each pack meets itself by an empty second side.
+    met = first.where("q < p").join(second, ["part_of", "p"]).select("a", "b")
+    met = met.unionByName(packs.select("a", none.alias("b")))
+    return own.unionByName(_linked(alone.select("a", none.alias("b")).unionByName(mains).unionByName(met))).distinct()
+
+
+def _beside_pivots(several: DataFrame, octets) -> DataFrame:
+    """Each block of ``several`` beside its component's pivots, ``PIVOTS`` of its rows under a small block's size."""
+    light = several.where(octets <= SMALL_BLOCK).select("part_of", "row", F.xxhash64("row", F.lit(1)).alias("order"))
+    chosen = top_k(light, ["part_of"], [F.asc("order"), F.asc("row")], PIVOTS, "n").select("row")
+    pivots = _packs(several.join(chosen, "row", "left_semi"), "a", "part_of", "blocks")
+    pivots = pivots.select("part_of", "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    return _packs(several, "b", "part_of", "part").join(pivots, ["part_of", "part"], "left").select("a", "b")
+
+
+def _main_rows(weights: DataFrame, edges: DataFrame, short) -> DataFrame:
+    """``(row, main)`` of the rows of the heaviest group that ``edges`` connect in each component of ``weights(part_of, row, octets)``."""
+    placed = simhash.components(edges)
+    placed = stage(placed.unionByName(placed.select(F.col("root").alias("u"), "root")).distinct(), "near-groups")
+    heavy = weights.join(placed.withColumnRenamed("u", "row"), "row").groupBy("part_of", "root").agg(F.sum("octets").alias("octets"))
+    main = heavy.groupBy("part_of").agg(F.max(F.struct("octets", "root"))["root"].alias("root")).select("root")
+    return placed.join(short(main), "root", "left_semi").select(F.col("u").alias("row"), F.lit(True).alias("main"))
 
 
 def proposed(rows: DataFrame) -> DataFrame:

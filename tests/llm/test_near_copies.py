@@ -43,6 +43,52 @@ def test_near_copies_are_found_and_others_stay(monkeypatch, spark):
         assert all(k in kept for k in keys if least[roots[k]] == k)  # what has no lesser copy stays
 
 
+def forms(rng, base, steps):
+    """A chain of sets, each near the one before, whose ends lie apart."""
+    out, now = [], list(base)
+    for k in range(steps):
+        now = now[4:] + [rng.randrange(1 << 40) for _ in range(4)]
+        out.append(list(now))
+    return out
+
+
+def test_large_components_keep_every_link(monkeypatch, spark):
+    rng = random.Random(11)
+    new = lambda n: [rng.randrange(1 << 40) for _ in range(n)]
+    hub, other = new(60), new(60)
+    sets = [hub[k % 5:] + new(k % 5) for k in range(150)] + forms(rng, hub, 40) + [other[k % 4:] + new(k % 4) for k in range(60)]
+    sets += forms(rng, other, 12) + [new(rng.randrange(1, 90)) for _ in range(30)] + [new(20000)] + [new(3), [7], [7], [7, 8]]
+    rng.shuffle(sets)
+    parts = [3 if k % 7 else 4 for k in range(len(sets))]  # two proposed components, which must not link
+    rows = spark.createDataFrame([(k, p, s) for k, (p, s) in enumerate(zip(parts, sets))], "row long, part_of long, shingles array<long>")
+    keys, have = set(range(len(sets))), [set(s) for s in sets]
+    want = brute.components(keys, lambda a, b: parts[a] == parts[b] and similar(have[a], have[b]))
+    assert len(set(want.values())) > 30
+    for small, large in ((1 << 18, 1 << 22), (2000, 4000), (20000, 20000)):
+        monkeypatch.setattr(near_copies, "SMALL_BLOCK", small)
+        monkeypatch.setattr(near_copies, "LARGE_BLOCK", large)
+        edges = [(r["u"], r["v"]) for r in near_copies.links(rows).collect()]
+        assert all(u > v and parts[u] == parts[v] and similar(have[u], have[v]) for u, v in edges)
+        joined = set(edges) | {(v, u) for u, v in edges}
+        got = brute.components(keys, lambda a, b: (a, b) in joined)
+        groups = lambda f: sorted(sorted(x for x in keys if f[x] == g) for g in set(f.values()))
+        assert groups(got) == groups(want)
+
+
+def test_a_group_of_copies_costs_about_its_size(monkeypatch, spark):
+    rng = random.Random(12)
+    hub = [rng.randrange(1 << 40) for _ in range(60)]
+    rows = spark.createDataFrame([(k, 0, hub[k % 4:] + [rng.randrange(1 << 40) for _ in range(k % 4)]) for k in range(600)], "row long, part_of long, shingles array<long>")
+    monkeypatch.setattr(near_copies, "SMALL_BLOCK", 6000)
+    monkeypatch.setattr(near_copies, "LARGE_BLOCK", 6000)
+    met = []
+    kept = near_copies._linked
+    monkeypatch.setattr(near_copies, "_linked", lambda packs: met.append(packs.count()) or kept(packs))
+    edges = near_copies.links(rows).distinct().collect()
+    assert len({e for r in edges for e in r}) == 600
+    assert met[0] > 40 and met[1] == 0  # blocks meet the pivots; none meets another block
+
+
 def test_columns_of_any_name_and_repeated_rows(spark):
     rows = [(1, "a b c d e f", "x", 5, 0.5), (1, "a b c d e f", "x", 5, 0.5), (None, "a b c d e f", "y", 6, 0.1), (2, "other words stand here", "z", 7, 0.2), (None, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, u int, row double")
