@@ -205,13 +205,18 @@ def global_features(pool: DataFrame, session_vecs: DataFrame, factors: DataFrame
             .withColumn("pool_artist_frac", F.col("_artist_n") / F.col("_pool_n")).drop("plays"))
 
 
-def album_features(pool: DataFrame, plays: DataFrame, feats: DataFrame) -> DataFrame:
-    """Columns 29-33: album agreement with the history and inside the pool; needs ``pool_counts``."""
+def played_albums(plays: DataFrame, feats: DataFrame) -> DataFrame:
+    """Per case and album: plays ``_hist``, whether among the last three or the last, and the case's plays ``_n``."""
     albums = plays.join(feats.select("item_id", "album_key"), "item_id").where("album_key <> ''")
-    counts = albums.groupBy("case_id", "album_key").agg(
+    return albums.groupBy("case_id", "album_key").agg(
         F.count("*").alias("_hist"), F.max(F.col("pos") > F.col("pos_total") - 3).alias("_last3"),
         F.max(F.col("pos") == F.col("pos_total")).alias("_last1"), F.max("pos_total").alias("_n"))
 
+
+def album_features(pool: DataFrame, plays: DataFrame, feats: DataFrame) -> DataFrame:
+    """Columns 29-33: album agreement with the history and inside the pool; needs ``pool_counts``."""
+    counts = played_albums(plays, feats)
+
     def flag(c):
         return F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
     return (pool.join(counts, ["case_id", "album_key"], "left")

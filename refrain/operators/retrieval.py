@@ -151,15 +151,19 @@ def fold_ensemble(queries: DataFrame, items: DataFrame, n_folds: int, k: int,
 
 # ---- collaborative -------------------------------------------------------------------
 
+def decay_weights(known_plays: DataFrame, weighting: str = "oldest", decay: float = DEFAULTS.als_decay, out: str = "w") -> DataFrame:
+    """Add ``out``: ``oldest`` puts weight 1 on the first play of ``known_plays(pos, pos_total)``, ``newest`` on the last."""
+    exponent = F.col("pos") - 1 if weighting == "oldest" else F.col("pos_total") - F.col("pos")
+    return known_plays.withColumn(out, F.pow(F.lit(decay), exponent))
+
+
 def session_vectors(known_plays: DataFrame, factors: DataFrame, weighting: str = "oldest",
                     decay: float = DEFAULTS.als_decay, normalize: bool = True) -> DataFrame:
-    """Decayed mean of item factors per case.
+    """Decayed mean of item factors per case, weighted as ``decay_weights`` says.
 
     ``known_plays(case_id, item_id, pos, pos_total)`` counts only plays that have a factor.
-    ``oldest`` puts weight 1 on the first play, ``newest`` on the last.
     """
-    exponent = F.col("pos") - 1 if weighting == "oldest" else F.col("pos_total") - F.col("pos")
-    weighted = (known_plays.withColumn("w", F.pow(F.lit(decay), exponent)).join(factors, "item_id")
+    weighted = (decay_weights(known_plays, weighting, decay).join(factors, "item_id")
                 .select("case_id", "w", array_to_vector(F.col("vec").cast("array<double>")).alias("v")))
     mean = weighted.groupBy("case_id").agg(Summarizer.mean(F.col("v"), F.col("w")).alias("m"))
     out = mean.select("case_id", vector_to_array("m").alias("vec"))

@@ -83,8 +83,8 @@ def e7(spark, sf):
 @query("E8_played_album_histogram", q("plays feats", """
 SELECT case_id, album_key, count(*) AS n FROM plays JOIN feats USING (item_id) WHERE album_key <> '' GROUP BY 1, 2"""))
 def e8(spark, sf):
-    f = FE.item_features(T.items(spark, sf)).select("item_id", "album_key")
-    return T.plays(spark, sf).join(f, "item_id").where("album_key <> ''").groupBy("case_id", "album_key").agg(F.count("*").alias("n"))
+    albums = FE.played_albums(T.plays(spark, sf), FE.item_features(T.items(spark, sf)))
+    return albums.select("case_id", "album_key", F.col("_hist").alias("n"))
 
 
 LIVE = "('qwen_recent', 'bm25_lastmusic', 'bm25_convo', 'qwen_neighbors', 'cfbpr_recent', 'als_session')"

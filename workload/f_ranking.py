@@ -50,8 +50,7 @@ SELECT case_id, item_id, round(sum(o), 9) AS w_oldest, round(sum(nw), 9) AS w_ne
     pow(0.8, n - rn) / sum(pow(0.8, n - rn)) OVER (PARTITION BY case_id) AS nw FROM k) GROUP BY 1, 2"""))
 def f5(spark, sf):
     known = serving.factor_plays(T.corpus(spark, sf))
-    w = known.select("case_id", "item_id", F.pow(F.lit(0.8), F.col("pos") - 1).alias("o"),
-                     F.pow(F.lit(0.8), F.col("pos_total") - F.col("pos")).alias("n"))
+    w = R.decay_weights(R.decay_weights(known, "oldest", out="o"), "newest", out="n")
     totals = w.groupBy("case_id").agg(F.sum("o").alias("so"), F.sum("n").alias("sn"))
     per = w.groupBy("case_id", "item_id").agg(F.sum("o").alias("o"), F.sum("n").alias("n"))
     return per.join(totals, "case_id").select("case_id", "item_id", F.round(F.col("o") / F.col("so"), 9).alias("w_oldest"),
