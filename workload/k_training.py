@@ -88,7 +88,7 @@ def k8(spark, sf):
     queries, items = T.fold_queries(spark, sf).join(folds, ["case_id", "fold"]), T.fold_vectors(spark, sf)
     out = None
     for k in range(DEFAULTS.folds):
-        part = R.masked_topk(FO.held_out(queries, k).select("case_id", "vec"), FO.held_out(items, k).select("item_id", "vec"), 50)
+        part = R.masked_topk(FO.held_out(queries, k).select("case_id", "vec"), FO.held_out(items, k).select("item_id", "vec"), 50, digits=6)
         part = part.withColumn("fold", F.lit(k))
         out = part if out is None else out.unionByName(part)
     return out.select("case_id", "item_id", "fold", "score", F.col("rank").cast("long").alias("rank"))
