@@ -18,7 +18,10 @@ def read_turns(spark: SparkSession, path: str, split: str | None = None) -> Data
 
 
 def newest_file_rows(spark: SparkSession, glob: str) -> DataFrame:
-    """Rows of the lexicographically last file a glob matches."""
-    # Only names are listed here; the one file is read afterwards.
-    newest = spark.read.format("binaryFile").load(glob).agg(F.max("path").alias("f")).first()["f"]
-    return spark.read.parquet(newest)
+    """Rows of the lexicographically last table a glob matches: one file, or a folder with all its part files."""
+    # Only names are listed here; the one table is read afterwards.
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    if not found:
+        raise FileNotFoundError(glob)
+    return spark.read.parquet(max((f.getPath().toString() for f in found), key=lambda p: p.encode()))
