@@ -27,6 +27,8 @@ from refrain.llm.common import ship, stage, whole_text
 WORDS, RADIUS, SEED = 4, 4, 42
 BLOCK = 1024
 BROADCAST_BYTES = 24 << 20
+#: Fingerprints a task spreads over the covering tables.
+KEYED_ROWS = 1 << 14
 PART = 1 << 16
 
 
@@ -116,7 +118,9 @@ def linked(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFram
     space = [F.col("space")] if "space" in fps.columns else []
     # One number stands for a table's bucket; should two buckets share it, their fingerprints are compared all the same.
     tables = F.array(*[F.xxhash64(F.lit(t), *space, F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks(radius))])
-    keyed = fps.select("fp", F.explode(tables).alias("key"))
+    # Tables multiply the rows, so a task takes a bounded number of fingerprints, however few files they lie in.
+    tasks = max(1, -(-fps.count() // KEYED_ROWS))
+    keyed = fps.repartition(tasks, "fp").select("fp", F.explode(tables).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
     sizes = stage(sizes, "simhash-buckets")
     # Two fingerprints of a bucket are its least and its greatest; only larger buckets need their members.
