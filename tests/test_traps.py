@@ -275,3 +275,9 @@ def test_missing_fold_fails_loudly(spark):
     assert stack_folds(rows.where("item_id = 'a'"), "item_id", 2).first()["vec"] == [1.0, 2.0]
     with pytest.raises(Exception, match="not all 2 folds"):
         stack_folds(rows, "item_id", 2).collect()
+
+
+def test_clean_tags_makes_its_lists_once_a_row(spark):
+    df = spark.createDataFrame([(["Rock", "rock", "ROCK", "jazz"],)], "t array<string>").select(clean_tags(F.col("t")).alias("c"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("star") == 1 and df.first().c == ["Rock", "jazz"]
