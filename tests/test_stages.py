@@ -3,6 +3,7 @@
 import pytest
 
 from refrain.llm import simhash
+from refrain.operators import features as FE, queries as Q
 from workload import tables as T
 
 
@@ -32,3 +33,15 @@ def test_a_task_spreads_a_bounded_number_of_fingerprints(spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         simhash.linked(spark.range(95).selectExpr("id * 7919 as fp").coalesce(1))
     assert "RepartitionByExpression" in str(seen.value) and ", 10" in str(seen.value)
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    """Files of sf0.001 are far below any threshold, so sizes alone would broadcast every one of these."""
+    sf = "/root/testdata/sf0.001"
+    c = T.corpus(spark, sf)
+    feats = FE.item_features(c.items)
+    for df in (T.purchases(spark, sf), c.cases, c.said, Q.last_item_parts(c.cases, c.plays, c.items),
+               Q.conversation_parts(c.cases, c.said, c.plays, c.items), FE.with_attributes(T.scored(spark, sf), feats),
+               FE.played_albums(c.plays, feats), T.last_vectors(spark, sf)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan, plan
