@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from refrain.llm import bpe, exact_dedup, mixing, near_copies, toxicity
-from refrain.llm.common import stage, table
+from refrain.llm.common import numbered, stage, table
 
 #: A classifier and connected components are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -35,7 +35,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = "_row"
     while row in docs.columns:
         row += "_"
-    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "copies-rows")
+    rows = numbered(docs, row, "copies-rows", files=True)
     kept = exact_dedup.deduplicate(rows.select(F.struct("doc_id", F.col(row).alias("row")).alias("doc_id"), "text")).where("kept")
     return rows.join(kept.select(F.col("doc_id")["row"].alias("_kept")), rows[row] == F.col("_kept"), "left_semi").drop(row)
 
@@ -45,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     SimHash fingerprints of words propose, shingles are compared exactly; nulls, repeated rows and ties as in near_copies.
     """
-    return near_copies.drop(docs)
+    return near_copies.drop(docs, files=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import sys
 import types
 
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from refrain.lineage import scratch_path
@@ -59,4 +60,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+
+def numbered(docs: DataFrame, row: str, name: str, files: bool = False) -> DataFrame:
+    """``docs`` with a number ``row`` a row, which stays the same whenever the table is read.
+
+    With ``files``, ``docs`` is a table as Parquet files give it: a row's number is its file's, in the order of paths, and its
+    place there, and nothing is copied. Any other table is written out with its numbers.
+    """
+    try:
+        if not files or "_metadata" in docs.columns:
+            raise AnalysisException("not a table of files")
+        placed = docs.select("*", F.col("_metadata.file_path").alias(f"{row}file"), F.col("_metadata.row_index").alias(f"{row}at"))
+    except AnalysisException:
+        return stage(docs.withColumn(row, F.monotonically_increasing_id()), name)
+    paths = placed.select(f"{row}file").distinct().coalesce(1).sortWithinPartitions(f"{row}file")  # one row a file
+    paths = stage(paths.withColumn(f"{row}no", F.monotonically_increasing_id()), f"{name}-files")
+    number = F.shiftleft(f"{row}no", 40).bitwiseOR(F.col(f"{row}at"))
+    return placed.join(F.broadcast(paths), f"{row}file").select(*[placed[c] for c in docs.columns], number.alias(row))
+
+
 ship(__name__)

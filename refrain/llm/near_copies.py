@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from refrain.llm import simhash
-from refrain.llm.common import ship, stage, whole_text
+from refrain.llm.common import numbered, ship, stage, whole_text
 from refrain.operators.topk import top_k
 
 #: Similarity as a fraction, so that comparing is exact.
@@ -181,12 +181,15 @@ def proposed(rows: DataFrame) -> DataFrame:
     return simhash.components(links).select(F.col("u").alias("row"), F.col("root").alias("part_of"))
 
 
-def drop(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` without near copies: of connected ones that with the least doc_id (null last) stays."""
+def drop(docs: DataFrame, text: str = "text", files: bool = False) -> DataFrame:
+    """Rows of ``docs`` without near copies: of connected ones that with the least doc_id (null last) stays.
+
+    ``files``: the table stands as it is in Parquet files, so its rows need no copy to be numbered.
+    """
     row = "_row"
     while row in docs.columns:
         row += "_"
-    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    rows = numbered(docs, row, "near-rows", files)
     others = stage(proposed(rows.select(F.col(row).alias("row"), F.col(text).alias("text"))), "near-proposed").where("row <> part_of")
     firsts = others.select("part_of").distinct().select(F.col("part_of").alias("row"), "part_of")
 

@@ -109,3 +109,18 @@ def test_empty_documents(spark, sf, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_of_files_are_numbered_without_a_copy(spark, sf, monkeypatch):
+    from refrain.llm import common
+    written = []
+    monkeypatch.setattr(common, "stage", lambda df, name, keep=common.stage: (written.append(df.columns), keep(df, name))[1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        assert stage(spark, docs, sf).count() > 0
+    assert written and not any("text" in columns for columns in written)
+    held = common.numbered(docs, "n", "test", files=True)
+    numbers = [r["n"] for r in held.select("n").collect()]
+    assert len(set(numbers)) == len(numbers) == docs.count() and sorted(numbers) == sorted(r["n"] for r in held.where("n >= 0").select("doc_id", "n").collect())
+    plain = common.numbered(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string"), "n", "test", files=True)
+    assert plain.select("n").distinct().count() == 2 and written[-1] == ["doc_id", "text", "n"]
