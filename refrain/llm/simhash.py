@@ -10,8 +10,9 @@ v's mask hides every difference: each pair within the radius has equal keys in a
 
 Within a bucket no pairs are emitted: its fingerprints are compared in bounded blocks, and of a block (or of two blocks,
 for a bucket that has several) only a spanning forest of its links goes on. Forests connect what the links connect, so
-components come out whole, and a bucket of m fingerprints yields under m rows a pair of blocks. Components are found by
-alternating star steps whose lineage is cut by tables in the shared folder.
+components come out whole, and a bucket of m fingerprints yields under m rows a pair of blocks. The forests of many tables
+say the same of a group many times over, so edges are first contracted in chunks of bounded size: a chunk goes on as stars,
+one edge a node at most. Components are found by alternating star steps whose lineage is cut by tables in the shared folder.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, which links like any other; a
 text of fewer words than a shingle is one shingle; equal texts share a fingerprint; repeated rows each get a result; a
@@ -29,6 +30,8 @@ BLOCK = 1024
 BROADCAST_BYTES = 24 << 20
 #: Fingerprints a task spreads over the covering tables.
 KEYED_ROWS = 1 << 14
+#: Edges a task contracts at a time.
+CHUNK = 1 << 19
 PART = 1 << 16
 
 
@@ -143,13 +146,65 @@ def linked(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFram
     return pairs.unionByName(up).distinct()
 
 
+def stars(u, v):
+    """Edges from each node of the edges ``u``, ``v`` to the least node they connect it with; least nodes have none."""
+    import numpy as np
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[:len(u)], at[len(u):]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            lower = label[label]
+            if (lower == label).all():
+                break
+            label = lower
+    at = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[at], nodes[label[at]]
+
+
+def _stars(chunk: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def out(u, v):
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        us, vs, held = [], [], 0
+        for batch in batches:
+            us.append(batch.column("u").to_numpy(zero_copy_only=False))
+            vs.append(batch.column("v").to_numpy(zero_copy_only=False))
+            held += batch.num_rows
+            if held >= 2 * chunk:
+                u, v = stars(np.concatenate(us), np.concatenate(vs))
+                us, vs, held = [u], [v], len(u)
+                if held > chunk:
+                    yield out(u, v)
+                    us, vs, held = [], [], 0
+        if held:
+            yield out(*stars(np.concatenate(us), np.concatenate(vs)))
+    return run
+
+
+def contracted(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Edges that connect what the written table ``edges(u, v)`` does: each chunk of them as stars."""
+    tasks = max(1, -(-edges.count() // chunk))
+    return edges.coalesce(tasks).mapInArrow(_stars(chunk), "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(u, root)`` for every node that an edge ``(u, v)`` names: the least node it is connected with.
 
     Large-star steps hang every greater neighbour on a node's least neighbour; small-star steps do so with the lesser
     ones. Only least neighbours are aggregated; a node of any degree is joined, never gathered.
     """
-    now, seen = stage(edges, "simhash-edges"), None
+    now, seen = stage(contracted(stage(edges, "simhash-edges")), "simhash-chunks"), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))

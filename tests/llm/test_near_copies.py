@@ -120,3 +120,43 @@ def test_a_bucket_of_many_blocks_keeps_its_links(spark):
     want = brute.components(far, lambda a, b: (a ^ b).bit_count() <= 4)
     groups = lambda f: sorted(sorted(x for x in far if f(x) == g) for g in {f(x) for x in far})
     assert groups(lambda x: got.get(x, x - (1 << 64) if x >> 63 else x)) == groups(lambda x: want[x])
+
+
+def test_edges_of_many_forests_go_on_as_one(monkeypatch, spark):
+    rng = random.Random(8)
+    n, trees = 400, []
+    for _ in range(31):  # as covering tables find a group: each table another tree over the same nodes
+        order = rng.sample(range(n), n)
+        trees += [(order[k], order[rng.randrange(k)]) for k in range(1, n)]
+    edges = [(max(e), min(e)) for e in trees] + [(n + k, n + k - 1) for k in range(2, 50)] + [(7, 7)]
+    stepped, kept = [], simhash.stage
+
+    def stage(df, name):
+        out = kept(df, name)
+        stepped.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "stage", stage)
+    got = simhash.components(spark.createDataFrame(edges, "u long, v long").repartition(9)).collect()
+    assert sorted(map(tuple, got)) == [(k, 0) for k in range(1, n)] + [(n + k, n + 1) for k in range(2, 50)]
+    rows = [k for name, k in stepped if name == "simhash-stars"]
+    assert max(rows) <= len(got) and sum(rows) <= 3 * len(got)
+
+
+def test_edges_are_contracted_in_bounded_chunks(spark):
+    rng = random.Random(9)
+    edges = [(max(e), min(e)) for e in ((rng.randrange(2000), rng.randrange(2000)) for _ in range(2200))]
+
+    def least(pairs):
+        label = list(range(2000))
+        while True:
+            before = list(label)
+            for u, v in pairs:
+                label[u] = label[v] = min(label[u], label[v])
+            if label == before:
+                return label
+
+    table = simhash.stage(spark.createDataFrame(edges, "u long, v long").repartition(3), "test-edges")
+    for chunk in (64, 1 << 19):  # some chunks are full of stars and go on before the task ends
+        got = [tuple(r) for r in simhash.contracted(table, chunk).collect()]
+        assert all(u > v for u, v in got) and least(got) == least(edges)
