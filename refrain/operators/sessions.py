@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from refrain.operators.joins import growing
 from refrain.operators.positions import lookback, positions, running_sums
 
 CHUNK_TURNS = 64
@@ -30,7 +31,7 @@ def last_requests(turns: DataFrame) -> DataFrame:
 def history(turns: DataFrame, cases: DataFrame) -> DataFrame:
     """Turns strictly before each session's request turn."""
     upto = cases.select("session_id", F.col("turn_number").alias("_upto"))
-    return turns.join(upto, "session_id").where("turn_number < _upto").drop("_upto")
+    return turns.join(growing(upto), "session_id").where("turn_number < _upto").drop("_upto")
 
 
 def plays_of(turns: DataFrame) -> DataFrame:
@@ -82,8 +83,8 @@ def lookup_gold(users: DataFrame, turns: DataFrame) -> DataFrame:
     """Gold by (session, user, turn) first, then by (session, turn); no gold drops the row."""
     by_user = gold_of(turns.where("user_id is not null"), ["session_id", "user_id"])
     by_session = gold_of(turns, ["session_id"])
-    return (users.join(by_user.withColumnRenamed("gt", "_u"), ["session_id", "user_id", "turn_number"], "left")
-            .join(by_session.withColumnRenamed("gt", "_s"), ["session_id", "turn_number"], "left")
+    return (users.join(growing(by_user.withColumnRenamed("gt", "_u")), ["session_id", "user_id", "turn_number"], "left")
+            .join(growing(by_session.withColumnRenamed("gt", "_s")), ["session_id", "turn_number"], "left")
             .withColumn("gt", F.coalesce("_u", "_s")).drop("_u", "_s").where("gt <> ''"))
 
 
@@ -101,10 +102,10 @@ def dev_cases(turns: DataFrame, assess: DataFrame | None = None) -> DataFrame:
     """One case per user turn that has gold, with counts that address its history."""
     users = turns.where("role = 'user'").select(
         "session_id", "user_id", "turn_number", "pos", F.col("content").alias("user_query"))
-    cases = (lookup_gold(users, turns).join(prior_counts(turns), ["session_id", "turn_number"])
+    cases = (lookup_gold(users, turns).join(growing(prior_counts(turns)), ["session_id", "turn_number"])
              .withColumn("case_id", F.concat_ws(":", "session_id", "turn_number", "pos")))
     if assess is not None:
-        cases = cases.join(assess, ["session_id", "turn_number"], "left")
+        cases = cases.join(growing(assess), ["session_id", "turn_number"], "left")
     return cases
 
 

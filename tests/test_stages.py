@@ -3,8 +3,8 @@
 import pytest
 
 from refrain.llm import simhash
-from refrain.operators import features as FE, queries as Q
-from workload import tables as T
+from refrain.operators import features as FE, queries as Q, sessions as S
+from workload import d_retrieval as D, tables as T
 
 
 class Seen(Exception):
@@ -45,3 +45,15 @@ def test_tables_that_grow_are_not_broadcast(spark):
                FE.played_albums(c.plays, feats), T.last_vectors(spark, sf)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Join" in plan and "Broadcast" not in plan, plan
+
+
+def test_sessions_are_not_broadcast(spark):
+    """Positions in a session, its cases, its gold and its look-back are joined where they lie, however few the rows."""
+    sf = "/root/testdata/sf0.001"
+    turns, c = T.turns(spark, sf), T.corpus(spark, sf)
+    feats = FE.item_features(c.items)
+    recency = FE.recency_parts(FE.with_attributes(T.scored(spark, sf), feats), c.plays, feats)
+    for df in (S.plays_of(turns), S.dev_cases(turns), S.train_transitions(turns), S.history(turns, S.last_requests(turns)),
+               D.text_queries(spark, sf), D.played_before(spark, sf), *recency):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan, plan
