@@ -148,7 +148,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, vec: str = "embedding"
     part = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
     shard_packs = _packs(candidates, part(shards), "shard")
     tile_packs = _packs(asked, part(tiles), "tile").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = tile_packs.join(shard_packs, ["dim", "shard"]).select("dim", "shard", "tile_rows", "shard_rows")
+    # A tile counts as its vectors, but comes once a shard: to Spark it looks small enough to be gathered on the driver, so the join is a merge.
+    pairs = tile_packs.hint("merge").join(shard_packs, ["dim", "shard"]).select("dim", "shard", "tile_rows", "shard_rows")
     partial = pairs.mapInArrow(_scorer(k), _OUT)
     group = max(2, math.isqrt(shards))
     twigs = _merge(partial.withColumn("branch", F.floor(F.col("shard") / group)), ["query_id", "branch"], k).drop("rank", "branch")

@@ -100,3 +100,12 @@ def test_sample_takes_one_text_an_id(spark):
     got = toxicity._sample(table, 20, 600).collect()
     order = [r[0] for r in spark.range(100).select("id", F.shiftrightunsigned(F.xxhash64(F.lit(11), "id"), 1).alias("h")).orderBy("h", "id").limit(20).collect()]
     assert sorted(r["text"] for r in got) == sorted("aaa" if i == 7 else f"text {i}" for i in order)
+
+
+def test_top_k_gathers_no_tiles_on_the_driver(spark):
+    """Tiles come once a shard; before, all those copies were one broadcast as soon as the vectors themselves looked small."""
+    from refrain.llm import topk_tiles
+    vectors = spark.range(3000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda d: F.pmod(F.xxhash64("id", d), F.lit(100)) / 100.0).alias("embedding"))
+    lists = topk_tiles.top_k(vectors.where("vec_id % 50 = 0"), vectors, 5, shard_bytes=1 << 12)
+    assert len(lists.collect()) == 60 * 5
+    assert "Broadcast" not in lists._jdf.queryExecution().executedPlan().toString()
