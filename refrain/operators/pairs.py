@@ -8,6 +8,7 @@ from refrain.config import DEFAULTS
 from refrain.functions.text import item_text, short_ref, structured_query
 from refrain.lineage import materialize, scratch_path
 from refrain.operators.folds import hash_order, permutation
+from refrain.operators.joins import growing
 from refrain.operators.positions import ordinal_by_sample
 from refrain.operators.sessions import last_texts, stored_order, train_transitions
 from refrain.operators.topk import top_k
@@ -15,16 +16,16 @@ from refrain.operators.topk import top_k
 
 def known_items(rows: DataFrame, items: DataFrame, col: str = "item_id") -> DataFrame:
     """Keep rows whose item exists in the catalog."""
-    return rows.join(items.select(F.col("item_id").alias(col)), col, "left_semi")
+    return rows.join(growing(items.select(F.col("item_id").alias(col))), col, "left_semi")
 
 
 def without_sessions(turns: DataFrame, excluded: DataFrame) -> DataFrame:
-    return turns.join(excluded.select("session_id").distinct(), "session_id", "left_anti")
+    return turns.join(growing(excluded.select("session_id").distinct()), "session_id", "left_anti")
 
 
 def overlap_count(turns: DataFrame, excluded: DataFrame) -> DataFrame:
     """How many sessions the exclusion skips."""
-    return (turns.select("session_id").distinct().join(excluded.select("session_id").distinct(), "session_id", "left_semi")
+    return (turns.select("session_id").distinct().join(growing(excluded.select("session_id").distinct()), "session_id", "left_semi")
             .agg(F.count("*").alias("n_overlap")))
 
 
@@ -46,11 +47,11 @@ def structured_queries(cases: DataFrame, users: DataFrame, plays: DataFrame, ite
     ``users(session_id, user_pos, content)``, ``plays(session_id, play_pos, item_id)``. Plays are
     cut to the last few first; those missing from the catalog then drop out.
     """
-    named = plays.join(refs(items), "item_id")
+    named = plays.join(growing(refs(items)), "item_id")
     said = last_texts(cases, users, "n_prior_user", "user_pos", history_turns, "content", "history")
     heard = last_texts(cases, named, "n_prior_music", "play_pos", context_tracks, "ref", "context")
     empty = F.array().cast("array<string>")
-    return (cases.join(said, "case_id", "left").join(heard, "case_id", "left")
+    return (cases.join(growing(said), "case_id", "left").join(growing(heard), "case_id", "left")
             .withColumn("query", structured_query(
                 F.col("user_query"), F.coalesce("history", empty), F.coalesce("context", empty)))
             .drop("history", "context"))
@@ -59,7 +60,7 @@ def structured_queries(cases: DataFrame, users: DataFrame, plays: DataFrame, ite
 def dev_pairs(cases: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
     """Structured query with the text of the gold item; unknown gold drops out."""
     texts = item_texts(items).withColumnRenamed("item_id", "gt")
-    return cases.select("case_id", "gt", "fold").join(queries.select("case_id", "query"), "case_id").join(texts, "gt")
+    return cases.select("case_id", "gt", "fold").join(growing(queries.select("case_id", "query")), "case_id").join(growing(texts), "gt")
 
 
 def train_pairs(turns: DataFrame, items: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
@@ -73,11 +74,11 @@ def train_pairs(turns: DataFrame, items: DataFrame, excluded: DataFrame | None =
     plays = stored_order(turns, "music", "play_pos", "item_id")
     steps = known_items(train_transitions(turns), items)
     current = users.select("session_id", F.col("user_pos").alias("n_user"), F.col("content").alias("user_query"))
-    cases = (steps.join(current, ["session_id", "n_user"]).where("user_query <> ''")
+    cases = (steps.join(growing(current), ["session_id", "n_user"]).where("user_query <> ''")
              .withColumn("case_id", F.concat_ws(":", "session_id", "pos"))
              .withColumn("n_prior_user", F.col("n_user") - 1))
     queries = structured_queries(cases, users, plays, items, history_turns=DEFAULTS.history_turns - 1)
-    return queries.join(item_texts(items), "item_id").select("case_id", "session_id", "item_id", "query", "item_text")
+    return queries.join(growing(item_texts(items)), "item_id").select("case_id", "session_id", "item_id", "query", "item_text")
 
 
 def capped_sample(pairs: DataFrame, per_session: int = DEFAULTS.pairs_per_session,
@@ -116,9 +117,9 @@ def random_negatives(batched: DataFrame, items: DataFrame, seed: int,
     drawn = (batched.select("batch_id").distinct()
              .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
              .withColumn("item_no", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % size + 1)
-             .join(numbered, "item_no"))
+             .join(growing(numbered), "item_no"))
     positives = batched.select("batch_id", "item_text").distinct().withColumn("_positive", F.lit(True))
-    judged = drawn.join(positives, ["batch_id", "item_text"], "left")
+    judged = drawn.join(growing(positives), ["batch_id", "item_text"], "left")
     again = F.row_number().over(W.partitionBy("batch_id", "item_text").orderBy("draw")) > 1
     judged = judged.withColumn("_bad", F.coalesce("_positive", F.lit(False)) | again)
     upto = W.partitionBy("batch_id").orderBy("draw").rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -57,3 +57,15 @@ def test_sessions_are_not_broadcast(spark):
                D.text_queries(spark, sf), D.played_before(spark, sf), *recency):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Join" in plan and "Broadcast" not in plan, plan
+
+
+def test_pairs_and_negatives_are_not_broadcast(spark):
+    """The catalog, its texts and the batches' own texts grow with the input."""
+    from refrain.operators import pairs as P
+    from workload import k_training as K
+    sf = "/root/testdata/sf0.001"
+    turns, items = T.turns(spark, sf), T.items(spark, sf)
+    excluded = turns.where("session_id = '1'").select("session_id")
+    for df in (P.train_pairs(turns, items, excluded), P.random_negatives(P.batches(K.train_pairs(spark, sf), 7), items, 3)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan, plan
